@@ -131,14 +131,14 @@ class Words:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with about ``size`` bytes of text, so that arrays over a slice stay small."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows with about ``size`` bytes of text and ``rows`` rows at most, so that arrays over a slice stay small."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes) // size
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        cuts = sorted({*range(0, batch.num_rows, rows), *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows})
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
 

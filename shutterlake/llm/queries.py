@@ -4,10 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shutterlake.llm import chat, packing, sharding
-from shutterlake.llm.common import table
+from shutterlake.llm import chat, packing, pu_quality, quality_rules, sharding, toxicity
+from shutterlake.llm.common import fold, table
+
+
+def _held(modulus: int, left_out: int) -> Column:
+    """Whether a row's id is of the fold that nothing is learned from; a row without id is not."""
+    return F.coalesce(fold(F.col("doc_id"), modulus) == left_out, F.lit(False))
+
+
+def _verdict(threshold: float) -> Column:
+    return (F.col("score") >= threshold).cast("int").alias("predicted")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held = _held(3, 1)
+    out = toxicity.scored(docs, toxicity.trained(docs, labels, ~held)).withColumnRenamed("__toxicity", "score")
+    return out.select("doc_id", held.alias("held_out"), "score", _verdict(toxicity.THRESHOLD))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), _held(5, 0)
+    rows, prior = pu_quality.sample(docs, table(spark, sf_dir, "labels"), ~held)
+    out = pu_quality.scored(docs, pu_quality.fit(rows, prior))
+    return out.select("doc_id", held.alias("held_out"), "score", _verdict(pu_quality.THRESHOLD))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
