@@ -68,18 +68,27 @@ def shuffled(scattered: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """Writes the records to ``path``/_shard=k in shuffled order and returns them as written, with ``slot``: 0, 1, ... in a shard."""
+    """Writes the records to ``path``/_shard=k in shuffled order and returns the table as written."""
     out = shuffled(scatter(docs, shards, bucket_bytes, seed), seed)
     out.write.partitionBy("_shard").parquet(path)
-    back = docs.sparkSession.read.schema(out.schema).parquet(path)
-    counts = back.groupBy("_shard", "_bucket").agg(F.count("*").alias("n"))
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def slotted(records: DataFrame) -> DataFrame:
+    """Columns of a written table, _shard, _bucket and _nth among them, with ``slot``: 0, 1, ... in a shard, bucket by bucket.
+
+    Select what is needed first: the join with the buckets' counts may move the rows.
+    """
+    counts = records.groupBy("_shard", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_shard", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return back.join(bases, ["_shard", "_bucket"]).withColumn("slot", F.col("base") + F.col("_nth")).drop("base")
+    return records.join(bases, ["_shard", "_bucket"]).withColumn("slot", F.col("base") + F.col("_nth")).drop("base")
 
 
 def digest(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """What op9 returns, from the shards as written."""
     back = write_shards(docs.select("doc_id", "text"), work_dir(docs.sparkSession), shards)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return back.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard").cast("int").alias("shard"), "slot", shard_of(F.col("doc_id"), shards + 1).cast("int").alias("grown_shard"))
+    own = back.select("doc_id", size_of(F.col("text")).alias("size"), F.crc32(text).alias("text_crc32"), "_shard", "_bucket", "_nth")
+    grown = shard_of(F.col("doc_id"), shards + 1).cast("int").alias("grown_shard")
+    return slotted(own).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), F.col("_shard").cast("int").alias("shard"), "slot", grown)
