@@ -35,11 +35,12 @@ def examples(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, b
     """
     known = labels.where(allowed & F.col(target).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(target).cast("int")).alias("y"))
     chosen = sampled(known, F.col("doc_id"), bound)
-    return dealt(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), bound)
+    return dealt(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), chosen.count())
 
 
-def dealt(rows: DataFrame, bound: int) -> DataFrame:
-    files = max(4, min(64, bound // ROWS_A_FILE))
+def dealt(rows: DataFrame, about: int) -> DataFrame:
+    """``rows``, about so many, written in files of ROWS_A_FILE, four at least."""
+    files = max(4, about // ROWS_A_FILE)
     return written(rows.repartition(files, F.xxhash64("doc_id", F.lit(3))))
 
 

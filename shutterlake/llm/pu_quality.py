@@ -57,7 +57,7 @@ def sample(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = MAX
     p = sampled(ids.where("q = 1"), F.col("doc_id"), bound).select("doc_id", F.lit(True).alias("positive"))
     u = sampled(ids.where("q IS NULL"), F.col("doc_id"), bound).select("doc_id", F.lit(False).alias("positive"))
     chosen = p.unionByName(u).dropDuplicates(["doc_id"])
-    return dealt(mine.join(F.broadcast(chosen), "doc_id"), bound), prior
+    return dealt(mine.join(F.broadcast(chosen), "doc_id"), chosen.count()), prior
 
 
 def fit(rows: DataFrame, prior: float, rounds: int = ROUNDS) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import chat, packing, pu_quality, quality_rules, sharding, toxicity
+from shutterlake.llm import chat, packing, pii, pu_quality, quality_rules, sharding, toxicity
 from shutterlake.llm.common import fold, table
 
 
@@ -27,6 +27,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "score", _verdict(toxicity.THRESHOLD))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.rewritten(docs.select("doc_id", "text", "lang", "source", "n_chars")).select("doc_id", "text", F.size("found").alias("n_found"), "found")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
