@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import chat, packing, pii, pu_quality, quality_rules, sharding, toxicity
+from shutterlake.llm import chat, lm, order_minhash, packing, pii, pu_quality, quality_rules, sharding, toxicity
 from shutterlake.llm.common import fold, table
 
 
@@ -20,6 +20,12 @@ def _verdict(threshold: float) -> Column:
     return (F.col("score") >= threshold).cast("int").alias("predicted")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), _held(7, 2)
+    out = lm.scored(docs, lm.Trained(docs.where(~held)))
+    return out.select("doc_id", held.alias("held_out"), *out.columns[1:])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held = _held(3, 1)
@@ -47,6 +53,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(table(spark, sf_dir, "documents"))
 
