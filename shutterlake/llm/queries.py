@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import chat, lm, order_minhash, packing, pii, pu_quality, quality_rules, sharding, toxicity
+from shutterlake.llm import chat, latent, lm, order_minhash, packing, pii, pu_quality, quality_rules, sharding, toxicity
 from shutterlake.llm.common import fold, table
 
 
@@ -42,6 +42,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), _held(5, 0)
     rows, prior = pu_quality.sample(docs, table(spark, sf_dir, "labels"), ~held)

@@ -28,6 +28,7 @@ ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
 ROUNDS = 4
 MOVED = 0.2
 THRESHOLD = 0.7
+SCORE = "__toxicity"
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
