@@ -35,7 +35,7 @@ MIN_PAIR = 2
 WEIGHT, MIX = 0.45, 30.0
 BITS_AN_ENTRY, PROBES = 12, 6
 BUCKET_BYTES = 32 << 20
-TOKENS_A_FLUSH = 4_000_000
+TOKENS_A_FLUSH = 2_000_000
 HEAD = 1 << 20
 MAX_BROADCAST = 256 << 20
 _U = np.uint64
@@ -313,7 +313,7 @@ def first_scores(docs: DataFrame, trained: Trained) -> DataFrame:
         m = model.value
         base = m.base(m.counts)
         kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
-        for batch in slices(batches, size=4 << 20):
+        for batch in slices(batches, size=2 << 20):
             h, p, first = tokens(batch.column("text"))
             rows = len(first) - 1
             row = np.repeat(np.arange(rows), np.diff(first))

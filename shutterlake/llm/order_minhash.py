@@ -9,11 +9,11 @@ similarity = L / (n1 + n2 - L), with n1, n2 the numbers of shingles and L the lo
 similarity of shingles in an alignment that keeps the order. Labels are distinct in a text, so L is the longest increasing run
 of matched places; places differ by at most the indels that THRESHOLD leaves, (n1 + n2) / 9, which is the band.
 
-Jobs: 1. one pass over the texts writes sketches; exact copies (128-bit hash) are one text from there on. 2. In a few rounds
-each bucket's texts are compared with one of its texts, a leader, which makes a star and no pairs; the links found join texts
-into classes, and a round's leaders come from classes that were not led yet. 3. Pairs of texts in a bucket that still are in
-different classes and were not compared are compared, where their lengths allow the similarity: after the stars these are few.
-So no pair of texts of different classes that meets in a bucket is left uncompared. Classes are connected components.
+Jobs: 1. one pass over the texts writes sketches; exact copies (128-bit hash) are one text from there on. 2. Each
+bucket's texts are compared with one of its texts, a leader, which makes a star and no pairs; the links found join texts into
+classes. 3. In buckets that
+still hold more than one class, the texts of different classes are compared: as pairs in small buckets; in large ones in blocks
+of texts, whose numbers of common labels come from matrix products, so that no pairs are made but of those that may be near. So no pair of texts of different classes that meets in a bucket is left uncompared. Classes are connected components.
 
 Defined results: a null text is empty; texts with fewer words than a shingle have one shingle (all their words), so they match
 only if equal, word by word; texts without words only if equal exactly; a null doc_id is in its text's class, whose name is the smallest
@@ -36,7 +36,8 @@ from shutterlake.llm.common import Words, mixed, seeds, slices, written
 SHINGLE = 5
 ELEMENTS, SKETCHES = 3, 14
 THRESHOLD = 0.8
-ROUNDS = 3
+#: Buckets of more texts than FEW are looked at in blocks of BLOCK texts, by COLUMNS labels at a time.
+FEW, BLOCK, COLUMNS = 32, 512, 4096
 _U = np.uint64
 _SEEDS, _ODD = seeds(SKETCHES, 5), seeds(SKETCHES, 6) | _U(1)
 
@@ -200,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
         before = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).where("u != v")
         edges = written(small.distinct())
@@ -218,7 +219,7 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 
 def linked_texts(members: DataFrame, words: DataFrame) -> DataFrame:
-    """Links (x, y) between texts of crowded buckets (id, n, bucket): enough to connect every class, all of them verified."""
+    """Pairs (x, y) of texts in crowded buckets (id, n, bucket) that connect every class, by links that were verified."""
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
 
@@ -230,19 +231,74 @@ def linked_texts(members: DataFrame, words: DataFrame) -> DataFrame:
 
     lead = members.groupBy("bucket").agg(F.min("id").alias("y"))
     test(members.join(lead, "bucket").where("id != y").select(F.col("id").alias("x"), "y").distinct())
-    for turn in range(1, ROUNDS):  # buckets of more than one class: a text of the class that a hash puts last
-        now = _classed(members, components(_all(links)))
-        order = F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c", "id")
-        lead = now.groupBy("bucket").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low.c != high.c")
-        lead = lead.select("bucket", F.col("high.c").alias("yc"), F.col("high.id").alias("y"))
-        test(now.join(lead, "bucket").where("c != yc").select(F.greatest("id", "y").alias("x"), F.least("id", "y").alias("y")).distinct())
-    now = _classed(members, components(_all(links)))
-    open_ = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("bucket")
+    first = components(links[0])
+    now = _classed(members, first)
+    open_ = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low != high").select("bucket", "size")
     now = written(now.join(open_, "bucket"))
-    x, y = (now.select("bucket", *(F.col(c).alias(c + side) for c in ("id", "n", "c"))) for side in "xy")
+    few = now.where(F.col("size") <= FEW)
+    x, y = (few.select("bucket", *(F.col(c).alias(c + side) for c in ("id", "n", "c"))) for side in "xy")
     fits = (F.col("nx") >= F.lit(THRESHOLD) * F.col("ny")) & (F.col("ny") >= F.lit(THRESHOLD) * F.col("nx"))
     test(x.join(y, "bucket").where((F.col("idx") > F.col("idy")) & (F.col("cx") != F.col("cy")) & fits).select(F.col("idx").alias("x"), F.col("idy").alias("y")).distinct())
-    return _all(links)
+    links.append(written(tiled(now.where(F.col("size") > FEW), words)))
+    return _all([first.select(F.col("key").alias("x"), F.col("c").alias("y")), *links[1:]])
+
+
+def tiled(members: DataFrame, words: DataFrame) -> DataFrame:
+    """Links (x, y) that join the classes of large buckets (id, c, bucket, size), each pair of texts looked at.
+
+    A bucket's texts are dealt to blocks of about BLOCK; a task gets two blocks (or one twice), so a text goes to as many tasks
+    as its bucket has blocks, and no pairs are made but in the task's arrays.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    own = members.withColumn("block", F.pmod(F.xxhash64("id", F.lit(8)), blocks).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = own.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "c")
+    whole = tiles.join(words, "id").select("bucket", "i", "j", "block", "id", "c", "w")
+
+    def look(tile: pa.Table) -> pa.Table:
+        return pa.Table.from_pydict(dict(zip("xy", (pa.array(v, pa.int64()) for v in _forest(tile)), strict=True)))
+
+    return whole.groupBy("bucket", "i", "j").applyInArrow(look, "x bigint, y bigint").distinct()
+
+
+def _forest(tile: pa.Table) -> tuple[list[int], list[int]]:
+    """Links between texts of a tile that join its classes: one for each joining."""
+    ids, classes, block = (tile.column(c).to_numpy() for c in ("id", "c", "block"))
+    own = [_labels(w) for w in tile.column("w").to_pylist()]
+    n, size = len(own), np.array([len(x) for x in own])
+    row = np.repeat(np.arange(n), size)
+    _, which, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # labels of one text alone meet nothing
+    shared = np.flatnonzero(times[which] > 1)
+    row, at = row[shared], column[which[shared]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    common = np.zeros((n, n), np.float32)
+    for a in range(0, int((times > 1).sum()), COLUMNS):
+        low, high = np.searchsorted(at, [a, a + COLUMNS])
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[low:high], at[low:high] - a] = 1
+        common += part @ part.T
+    # no alignment has more than the common labels
+    may = common >= THRESHOLD * (size[:, None] + size[None, :] - common)
+    if block.min() != block.max():
+        may &= block[:, None] != block[None, :]
+    x, y = np.nonzero(np.triu(may, 1) & (classes[:, None] != classes[None, :]))
+    root = {c: c for c in classes.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for p, q in zip(x.tolist(), y.tolist(), strict=True):
+        a, b = find(int(classes[p])), find(int(classes[q]))
+        if a != b and similarity(own[p], own[q]) >= THRESHOLD:
+            root[a] = b
+            out[0].append(int(ids[p]))
+            out[1].append(int(ids[q]))
+    return out
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
