@@ -127,14 +127,14 @@ def _hybrid(s: SparkSession, d: str) -> DataFrame:
     alike = neighbours.most_alike(_vectors(s, d), _QUERY, 0.05, 25).select(F.col("id").alias("media_id"), (F.col("similarity") * search.VECTOR).alias("score"))
     ocr = QUERIES["ocr_substring_recall"](s, d)
     out = search.fused({"terms": QUERIES["term_recall"](s, d), "ocr": ocr, "vector": alike})
-    return out.orderBy(F.col("tier").desc(), F.col("score").desc(), F.col("media_id").desc()).limit(50).select("media_id", F.round("score", 4).alias("score"), "tier")
+    return out.orderBy(F.col("tier").desc(), F.col("score").desc(), F.col("media_id").desc()).limit(50).select("media_id", F.round("score", 3).alias("score"), "tier")
 
 
 _add("hybrid_search", _hybrid,
      _INDEX + f""", v AS (SELECT vec_id, {_SIM} AS sim FROM embeddings), u AS (SELECT media_id, CAST(score AS DOUBLE) AS score, 0 AS o, 0 AS w FROM ({_RECALL}) UNION ALL SELECT doc_id, 85, 1, 0 FROM documents WHERE contains(lower(text), 'thein')
 UNION ALL SELECT * FROM (SELECT vec_id, sim * 120, 0, 1 FROM v WHERE sim >= 0.05 ORDER BY round(sim, 9) DESC, vec_id DESC LIMIT 25)),
 g AS (SELECT media_id, round(sum(score), 6) AS score, CASE WHEN max(o) = 1 AND max(w) = 1 THEN 3 WHEN max(o) = 1 THEN 2 WHEN max(w) = 1 THEN 1 ELSE 0 END AS tier FROM u GROUP BY media_id)
-SELECT media_id, round(score, 4) AS score, tier FROM g ORDER BY tier DESC, g.score DESC, media_id DESC LIMIT 50""")
+SELECT media_id, round(score, 3) AS score, tier FROM g ORDER BY tier DESC, g.score DESC, media_id DESC LIMIT 50""")
 
 # ---- vectors, hashes, faces
 _add("vector_centroid", lambda s, d: neighbours.centroids(view(s, d, "faces")).select("user_id", "cluster_id", "place", F.round("mean", 6).alias("mean")), _VIEWS + ", e AS (SELECT user_id, cluster_id, unnest(range(64)) AS place, unnest(embedding) AS v FROM faces) SELECT user_id, cluster_id, CAST(place AS INT) AS place, round(avg(CAST(v AS DOUBLE)), 6) AS mean FROM e GROUP BY user_id, cluster_id, place")
