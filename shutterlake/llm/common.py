@@ -147,3 +147,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[i] ... starts[i] + lengths[i] - 1 for each i, end to end."""
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by a sort, which is many times faster here than np.unique's hashing."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import Words, mixed, slices
+from shutterlake.llm.common import Words, distinct, mixed, slices
 from shutterlake.llm.linear import MAX_ROWS, examples, sigmoid
 
 BITS = 22
@@ -52,7 +52,7 @@ def _learn(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray, bias
     seen, y = [], []
     for batch in slices(batches):
         row, feature = features(Words(batch.column("text")))
-        keys = np.unique(row << BITS | feature)
+        keys = distinct(row << BITS | feature)
         cuts = np.searchsorted(keys, np.arange(batch.num_rows + 1) << BITS)
         seen += [(keys[a:b] & ((1 << BITS) - 1)).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         y += batch.column("y").to_pylist()
@@ -117,7 +117,7 @@ def scored(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> Data
         for batch in slices(batches):
             row, feature = features(Words(batch.column("text")))
             known = np.flatnonzero(dense[feature])
-            keys = np.unique(row[known] << BITS | feature[known])
+            keys = distinct(row[known] << BITS | feature[known])
             sums = np.bincount(keys >> BITS, dense[keys & ((1 << BITS) - 1)], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(bias + sums))], names=[*batch.schema.names, "__toxicity"])
 
