@@ -144,6 +144,33 @@ def test_latent_finds_items_and_leaves_the_rest(spark, hard):
     assert latent.leaks(docs.limit(0), bench).count() == 0 and latent.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_latent_finds_hot_reworded_passages(spark):
+    """A passage that over 5% of the documents have with its rarest words changed, against verdict() at all places."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    hot = [f"hot{k}" for k in range(20)]
+    items = [" ".join(hot), " ".join(f"cold{k}" for k in range(20))]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    changed = [hot if i % 9 == 0 else [*hot[:3], *(f"new{i}x{k}" for k in range(1 + i % 6)), *hot[4 + i % 6 :]] for i in range(400)]
+    texts = [" ".join(rng.choices(WORDS, k=60)) + " " + " ".join(w) + " " + " ".join(rng.choices(WORDS, k=60)) for w in changed] + [" ".join(rng.choices(WORDS, k=140)) for _ in range(2100)]
+    for t in [" ".join(["hot3", "hot4"] + WORDS[:3])] * 2 + [items[1]]:
+        texts.append(t)
+    docs = table(spark, [t.replace("hot3", "only") if 0 < i < 400 else t for i, t in enumerate(texts)])
+    index = latent.indexed(docs, own := next(latent.items_of(bench)))
+    rows = docs.select("doc_id", "text").collect()
+    want = set()
+    for r in rows:
+        h = latent.Words(pa.array([r["text"]])).hashes
+        for i, x in enumerate(own):
+            places = range(0, max(1, len(h) - 59), 5)
+            if np.isin(x.words, h).sum() >= 10 and any(latent.verdict(x, index.rare[i], h[p : p + 60]) for p in places):
+                want.add((r["doc_id"], i))
+    assert len(want) > 200
+    assert {(r["doc_id"], r["item_id"]) for r in latent.leaks(docs, bench).collect()} == want
+
+
 def test_subsequence_lengths_agree():
     import numpy as np
 
