@@ -4,7 +4,7 @@ A count is kept as its level on a scale of powers of BASE; the filter holds (n-g
 found by membership probes: the first level, then a binary search, as all lower levels of a member are members too. The filter
 is built in Spark: each task of the first pass counts its own n-grams and deals them to hash buckets; a bucket's counts are
 added up in one task, which makes that bucket's part of the filter. The number of buckets grows with the text, a bucket does
-not. Word pairs that occur once are left out of the filter (MIN_PAIR); words are all in.
+not. All words and word pairs are in, those that occur once at level 1.
 
 P(w|h) = a(h) low(c(h,w)) / up(c(h)) + (1 - a(h)) P(w), with low and up the ends of a level, so that no history gives away more
 than it has; a(h) = WEIGHT up / (up + MIX). P(w) is (q + 1) / (Z + V + 1) with q a level's middle and Z the sum of q over all words.
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import Words, mixed, slices, written
 
 BASE = 1.5
-MIN_PAIR = 2
 WEIGHT, MIX = 0.45, 30.0
 BITS_AN_ENTRY, PROBES = 12, 6
 BUCKET_BYTES = 32 << 20
@@ -193,8 +192,6 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
         keys, n = keys[order], n[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, n = keys[starts], np.add.reduceat(n, starts)
-        if pair:
-            keys, n = keys[n >= MIN_PAIR], n[n >= MIN_PAIR]
         lev = level(n)
         words = [] if pair else [{"h": h, "c": c} for h, c in zip(keys.view(np.int64).tolist(), n.tolist(), strict=True)]
         row = {"bucket": bucket, "bits": built(keys, lev).tobytes(), "most": int(lev.max(initial=0)), "tokens": int(n.sum()), "distinct": len(n), "middles": float(_MIDDLE[lev].sum()), "words": words}

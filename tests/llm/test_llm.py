@@ -131,6 +131,16 @@ def test_lm_against_counts(spark, hard):
     assert lm.scored(docs.limit(0), lm.Trained(docs.limit(0))).count() == 0
 
 
+def test_lm_knows_pairs_that_occur_once(spark):
+    import pyarrow as pa
+
+    texts = [" ".join(f"one{i}x{k}" for k in range(40)) for i in range(30)] + ["said twice"] * 2
+    trained = lm.Trained(table(spark, texts))
+    h, p, _ = lm.tokens(pa.array(texts))
+    got = lm._levels(trained.part(0), h, p, trained.model.most)[1]
+    assert trained.parts and (got >= 1).all() and (got[:-6] == 1).mean() > 0.9
+
+
 def test_latent_finds_items_and_leaves_the_rest(spark, hard):
     items = [text(n) + "." for n in (16, 20, 37, 64, 150)]
     bench = spark.createDataFrame([*enumerate(items), (9, None), (10, "")], "item_id bigint, text string")
