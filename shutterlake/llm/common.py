@@ -7,6 +7,7 @@ operators count, compare and look up numbers instead of Python strings. Nothing
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,21 +27,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder path under spark.checkpoint.dir; only where that is unset (tests, one machine), under a temporary folder."""
+    """A new folder path under spark.checkpoint.dir. Only a local session without that setting gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="shutterlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, read by all that follows, safe when executors are lost."""
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
+    path = path or work_dir(df.sparkSession)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(df: DataFrame, compression: str = "zstd") -> Iterator[DataFrame]:
+    """``written`` for as long as the block runs: what is made from the table must be computed within it."""
+    spark, path = df.sparkSession, work_dir(df.sparkSession)
+    try:
+        yield written(df, path, compression)
+    finally:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of ``df`` has, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of doc_id's decimal text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -1,13 +1,19 @@
 """Quality by positive-unlabelled learning: the non-negative unbiased risk over trusted positives and unlabelled web text.
 
-Trusted positives (P) are rows labelled good; the unlabelled ones (U) are documents without a label. With class prior pi and
-the logistic loss, the risk is pi R_P(+) + max(0, R_U(-) - pi R_P(-)); where a batch's second term falls below zero the step
-goes up it instead, which keeps a flexible model from fitting P as all that is good (Kiryo et al., 2017). pi is the share of
-good rows among labelled ones, which are drawn from the same web text. Inputs are the shapes of characters (``linear.shapes``).
-Labels of bad rows have no other part. P and U are bounded samples (MAX_ROWS each, by hash of doc_id).
-
-Defined results: a null or empty text scores like a text without n-grams; with no positives or nothing unlabelled every score
-is the prior; rows repeated or without id are scored each; extra columns are not read.
+Trusted positives (P) are rows labelled good, a bounded sample (MAX_ROWS by hash of doc_id). The unlabelled text (U) is all web
+text that may be learned from, whatever labels it has, so that U has the mix of good and bad that is to be told apart; ``bound``
+None takes all of it. Labels of bad rows have no part. With class prior pi and the logistic loss the risk is
+pi R_P(+) + max(0, R_U(-) - pi R_P(-)) (Kiryo et al., 2017): a batch whose second term is below zero has no part in it, which
+keeps a flexible model from fitting P as all that is good.
+
+pi is estimated from P and U alone. The first round learns to tell P from U. On a fold that is kept from all learning, the share
+of U above any cut of that score is at least pi times the share of P above it, so pi is at most their ratio; the least ratio
+over cuts with TAIL of P above them, less its standard error, is the estimate. The other rounds (ROUNDS) go down the risk. At last scale and offset of the
+values are set to where the risk over that fold is least: with the logistic loss it is pi E_P[-z] + E_U[log(1 + exp z)], convex
+in both, from numbers of rows by bin. Inputs: ``linear.Grams``.
+
+Defined results: a null or empty text scores by the bias and the cells of an empty text; with no positives or nothing unlabelled
+every score is 0.5; rows repeated or without id are scored (and are unlabelled text) each; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -19,76 +25,129 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import slices
-from shutterlake.llm.linear import CHAR_BITS, MAX_ROWS, averaged, dealt, sampled, shapes, sigmoid
+from shutterlake.llm.common import Words, scratch, slices
+from shutterlake.llm.linear import MAX_ROWS, ROWS_A_SLICE, WIDTH, Grams, by_shard, dealt, labelled, sampled, sigmoid, summed, valued
 
-WIDTH = (1 << CHAR_BITS) + 1
-ROWS_A_SLICE = 256
-ROUNDS = 4
-RATE, L2 = 0.3, 1e-4
+ROUNDS, RATE = 2, 1.0
+FOLDS, TAIL = 5, 0.5
+BINS, SPAN = 1_000, 10.0
 THRESHOLD = 0.3
 
 
-def _inputs(texts: pa.Array) -> np.ndarray:
-    return np.concatenate([shapes(texts), np.ones((len(texts), 1), np.float32)], axis=1)
-
-
-def nn_gradient(x: np.ndarray, positive: np.ndarray, w: np.ndarray, prior: float) -> np.ndarray:
-    """The step's gradient of the non-negative risk over one batch (rows x; positive: in P, else in U)."""
-    f = x @ w
-    p, u = positive, ~positive
-    high = sigmoid(f)  # gradient of the loss of being called negative; of positive, high - 1
-    minus = np.where(u, high / max(u.sum(), 1), 0) - prior * np.where(p, high / max(p.sum(), 1), 0)
-    loss = np.logaddexp(0, f)
-    second = loss[u].sum() / max(u.sum(), 1) - prior * loss[p].sum() / max(p.sum(), 1)
-    if second < 0:
-        return x.T @ -minus
-    return x.T @ (prior * np.where(p, (high - 1) / max(p.sum(), 1), 0) + minus)
-
-
-def sample(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = MAX_ROWS) -> tuple[DataFrame, float]:
-    """Written examples (doc_id, text, positive) and the class prior. Labels are known by id; the larger of two counts."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("q"))
-    mine = docs.where(allowed).select("doc_id", "text")
-    total, good = known.where(allowed).agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("q") == 1, 1).otherwise(0)), F.lit(0))).first()
-    prior = (good + 1) / (total + 2)
-    # ids first, texts of the chosen ids after: the join moves numbers only, and the broadcast is bounded
-    ids = mine.select("doc_id").where(F.col("doc_id").isNotNull()).join(known, "doc_id", "left")
-    p = sampled(ids.where("q = 1"), F.col("doc_id"), bound).select("doc_id", F.lit(True).alias("positive"))
-    u = sampled(ids.where("q IS NULL"), F.col("doc_id"), bound).select("doc_id", F.lit(False).alias("positive"))
-    chosen = p.unionByName(u).dropDuplicates(["doc_id"])
-    return dealt(mine.join(F.broadcast(chosen), "doc_id"), chosen.count()), prior
-
-
-def fit(rows: DataFrame, prior: float, rounds: int = ROUNDS) -> np.ndarray:
-    start = float(np.log(prior / (1 - prior)))
-
-    def learn(w: np.ndarray, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, int]:
-        squares, n = np.full(WIDTH, 1e-6), 0
-        w = w.astype(np.float32)
-        for batch in slices(batches, rows=ROWS_A_SLICE):
-            x, positive = _inputs(batch.column("text")), np.array(batch.column("positive"), bool)
-            if positive.any() and not positive.all():
-                g = nn_gradient(x, positive, w, prior) + L2 * w
-                squares += g * g
-                w -= (RATE * g / np.sqrt(squares)).astype(np.float32)
-                n += len(x)
-        return w.astype(np.float64), n
-
-    out = averaged(rows, learn, WIDTH, rounds)
-    if not out.any():
-        out[-1] = start
-    return out
+def told_apart(z: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Derivatives by the values z of the loss of P against U (all rows); P and U count the same."""
+    h = sigmoid(z)
+    return np.where(p, (h - 1) / p.sum(), 0) + h / len(z)
+
+
+def non_negative(z: np.ndarray, p: np.ndarray, prior: float) -> np.ndarray:
+    """Derivatives by the values z of the non-negative risk of one batch; all its rows are in U, those of ``p`` in P as well."""
+    h, loss = sigmoid(z), np.logaddexp(0, z)
+    plus = prior * np.where(p, (h - 1) / p.sum(), 0)
+    if loss.mean() - prior * loss[p].mean() < 0:
+        return plus
+    return plus + h / len(z) - prior * np.where(p, h / p.sum(), 0)
+
+
+def learned(batches: Iterator[pa.RecordBatch], w: np.ndarray, prior: float | None) -> tuple[np.ndarray, int]:
+    """Weights after one shard's rows, in batches, with a rate for each weight from its squared derivatives; and the rows used."""
+    w, squares, rows = w.copy(), np.full(WIDTH, 1e-8), 0
+    for batch in slices(batches, rows=ROWS_A_SLICE):
+        p = np.array(batch.column("positive"), bool)
+        if p.any():
+            x = Grams(Words(batch.column("text"), exact=True))
+            z = x.logits(w)
+            g = x.gradient(told_apart(z, p) if prior is None else non_negative(z, p, prior), 0, x.rows)
+            squares += g * g
+            w -= RATE * g / np.sqrt(squares)
+            rows += x.rows
+    return w, rows
+
+
+def sample(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = MAX_ROWS, unlabelled: int | None = None) -> DataFrame:
+    """(shard, text, positive, held) of the text to learn from, to be written: U, of which the rows of P are marked.
+
+    The ids of P are broadcast, about ``bound`` at most. ``unlabelled`` bounds U; None: all text for which ``allowed``.
+    """
+    p = labelled(labels, "quality", allowed, bound).where("y = 1").select("doc_id", F.lit(True).alias("positive"))
+    u = sampled(docs.where(allowed).select("doc_id", "text"), F.col("doc_id"), unlabelled)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(FOLDS)) == 0
+    rows = u.join(F.broadcast(p), "doc_id", "left").select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive"), held.alias("held"))
+    return dealt(rows, u.select("doc_id").count())
+
+
+def _round(rows: DataFrame, weights: np.ndarray, prior: float | None) -> np.ndarray:
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total = None
+        for _, part in by_shard(batches):
+            w, n = learned(part, sent.value, prior)
+            if n:
+                total = np.zeros(WIDTH + 1) if total is None else total
+                total[:-1] += n * w
+                total[-1] += n
+        return total
+
+    got = summed(rows.where("NOT held").select("shard", "text", "positive"), work, WIDTH + 1)
+    sent.destroy()
+    return got[:-1] / got[-1] if got[-1] else weights
+
+
+def prior_of(p: np.ndarray, u: np.ndarray) -> float:
+    """The class prior from numbers of rows of P and U by score bin, lowest first."""
+    above_p, above_u = np.cumsum(p[::-1]), np.cumsum(u[::-1])
+    cuts = above_p >= max(1, TAIL * above_p[-1])
+    if not above_p[-1] or not above_u[-1]:
+        return 0.5
+    least = min(1.0, np.min(above_u[cuts] / above_u[-1] / (above_p[cuts] / above_p[-1])))
+    return float(np.clip(least - np.sqrt(least * (1 - least) / above_p[-1]), 0.01, 0.99))
+
+
+def binned(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of held rows of P and of U by bin of their values."""
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("value") + SPAN) * (BINS / (2 * SPAN)))))
+    got = valued(rows.where("held").select("positive", "text"), weights).groupBy(bin_.alias("bin")).agg(F.count_if("positive").alias("p"), F.count("*").alias("u")).collect()  # at most BINS rows
+    p, u = np.zeros(BINS), np.zeros(BINS)
+    for r in got:
+        p[r["bin"]], u[r["bin"]] = r["p"], r["u"]
+    return p, u
+
+
+def calibrated(p: np.ndarray, u: np.ndarray, prior: float, pull: float = 1e-3, steps: int = 60) -> tuple[float, float]:
+    """Scale and offset of values with the least risk, by Newton steps with a weak pull to (1, 0)."""
+    a, b = 1.0, 0.0
+    if not p.sum() or not u.sum():
+        return a, b
+    x = (np.arange(BINS) + 0.5) * (2 * SPAN / BINS) - SPAN
+    p, u = p / p.sum(), u / u.sum()
+    for _ in range(steps):
+        h = sigmoid(a * x + b)
+        r, v = u * h - prior * p, u * h * (1 - h)
+        g = np.array([(r * x).sum() + pull * (a - 1), r.sum() + pull * b])
+        m = np.array([[(v * x * x).sum() + pull, (v * x).sum()], [(v * x).sum(), v.sum() + pull]])
+        a, b = np.array([a, b]) - np.linalg.solve(m, g).clip(-1, 1)
+    return max(float(a), 0.0), float(b)
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """(weights, class prior) from what ``sample`` gives, written."""
+    weights = _round(rows, np.zeros(WIDTH), None)
+    prior = prior_of(*binned(rows, weights))
+    for _ in range(rounds):
+        weights = _round(rows, weights, prior)
+    scale, offset = calibrated(*binned(rows, weights), prior)
+    weights = scale * weights
+    weights[-1] += offset
+    return weights, prior
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, score) of each row: the probability that its text is good."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    return valued(docs.select("doc_id", "text"), weights).select("doc_id", (1 / (1 + F.exp(-F.col("value")))).alias("score"))
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, rows=ROWS_A_SLICE):
-            p = sigmoid((_inputs(batch.column("text")) @ sent.value).astype(np.float64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p)})
 
-    own = docs.select("doc_id", "text")
-    return own.mapInArrow(task, f"doc_id {own.dtypes[0][1]}, score double")
+def trained(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = MAX_ROWS, unlabelled: int | None = None) -> tuple[np.ndarray, float]:
+    """(weights, class prior)."""
+    with scratch(sample(docs, labels, allowed, bound, unlabelled)) as rows:
+        return fit(rows)

@@ -1,11 +1,11 @@
 """Quality rules: counts over whole texts and a calibrated classifier against a fixed threshold.
 
-The classifier is a logistic regression over hashed word n-grams and character n-grams (``linear.wording``, ``linear.shapes``),
-trained on labelled quality rows by averaged AdaGrad rounds. A fold of the labelled rows is kept from training; on it the
-score's scale and offset are fitted (Platt), from counts by score bin, so that it is a probability. Texts are scored in
-Arrow batches. A document stays if no count fails and its probability of good quality is THRESHOLD at least.
+The classifier is a logistic regression over hashed word and character n-grams (``linear.Grams``), trained on labelled quality
+rows by averaged AdaGrad rounds. A fold of the labelled rows is kept from training; on it the score's scale and offset are
+fitted (Platt), from counts by score bin, so that it is a probability. Texts are scored in Arrow batches. A document stays if
+no count fails and its probability of good quality is THRESHOLD at least.
 
-Defined results: a null or empty text has counts 0, fails the base rules and scores like a text without n-grams; with no
+Defined results: a null or empty text has counts 0, fails the base rules and scores as an empty text; with no
 labelled rows every probability is 0.5; rows repeated or without id are scored each; extra columns are not read.
 """
 
@@ -18,15 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import Words, mixed, slices
-from shutterlake.llm.linear import CHAR_BITS, MAX_ROWS, WORD_BITS, averaged, examples, shapes, sigmoid, wording
+from shutterlake.llm.common import Words, mixed, scratch, slices
+from shutterlake.llm.linear import MAX_ROWS, ROWS_A_SLICE, WIDTH, Grams, by_shard, examples, sigmoid, summed, valued
 
 THRESHOLD = 0.3
 CALIBRATION_FOLDS = 5
-ROUNDS = 4
-RATE, L2, BATCH = 2.0, 1e-5, 32
-ROWS_A_SLICE = 128
-WIDTH = (1 << CHAR_BITS) + (1 << WORD_BITS) + 1
+ROUNDS, RATE, BATCH = 3, 0.5, 32
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _CONTINUES = np.array([0x80 <= b < 0xC0 for b in range(256)])
@@ -68,37 +65,46 @@ def _dup_lines(words: Words) -> np.ndarray:
     return out
 
 
-def _inputs(texts: pa.Array, words: Words) -> np.ndarray:
-    return np.concatenate([shapes(texts), wording(words), np.ones((len(texts), 1), np.float32)], axis=1)
-
-
-def _learn(w: np.ndarray, batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, int]:
-    """Weights after the task's rows in small batches, with rates from summed squares of gradients; a class counts half."""
-    squares, rows = np.full(WIDTH, 1e-6), 0
-    w = w.astype(np.float32)
+def learned(batches: Iterator[pa.RecordBatch], w: np.ndarray) -> tuple[np.ndarray, int]:
+    """Weights after one shard's rows in small batches, with rates from summed squares of derivatives; and the number of rows."""
+    w, squares, rows = w.copy(), np.full(WIDTH, 1e-8), 0
     for batch in slices(batches, rows=ROWS_A_SLICE):
-        x, y = _inputs(batch.column("text"), Words(batch.column("text"), exact=True)), np.array(batch.column("y"), np.float32)
-        weight = np.array(batch.column("weight"), np.float32)
-        for a in range(0, len(y), BATCH):
-            own = x[a : a + BATCH]
-            g = own.T @ ((sigmoid(own @ w) - y[a : a + BATCH]) * weight[a : a + BATCH]) / len(own) + L2 * w
+        x = Grams(Words(batch.column("text"), exact=True))
+        y, weight = np.array(batch.column("y"), float), np.array(batch.column("weight"), float)
+        for a in range(0, x.rows, BATCH):
+            b = min(a + BATCH, x.rows)
+            g = x.gradient((sigmoid(x.logits(w, a, b)) - y[a:b]) * weight[a:b] / (b - a), a, b)
             squares += g * g
-            w -= (RATE * 0.1 * g / np.sqrt(squares)).astype(np.float32)
-        rows += len(y)
-    return w.astype(np.float64), rows
+            w -= RATE * g / np.sqrt(squares)
+        rows += x.rows
+    return w, rows
 
 
 def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, float, float]:
-    """(weights, scale, offset) from examples (doc_id, text, y)."""
-    held = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(CALIBRATION_FOLDS)) == 0
+    """(weights, scale, offset) from examples (shard, text, y), written; each class counts half."""
+    held = F.pmod(F.xxhash64("text", F.lit(41)), F.lit(CALIBRATION_FOLDS)) == 0
     total, good = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < good < total:
         p = (good + 1) / (total + 2)
         return np.zeros(WIDTH), 0.0, float(np.log(p / (1 - p)))
     weight = F.when(F.col("y") == 1, F.lit(total / (2 * good))).otherwise(F.lit(total / (2 * (total - good))))
-    weights = averaged(rows.where(~held).withColumn("weight", weight), _learn, WIDTH, rounds)
-    bins = F.floor(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("__logit"))) * 25).alias("bin")
-    got = logits(rows.where(held).select("y", "text"), weights).groupBy(bins).agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect()
+    own, weights = rows.where(~held).withColumn("weight", weight), np.zeros(WIDTH)
+    for _ in range(rounds):
+        sent = rows.sparkSession.sparkContext.broadcast(weights)
+
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> np.ndarray | None:
+            total = np.zeros(WIDTH + 1)
+            for _, part in by_shard(batches):
+                w, n = learned(part, sent.value)
+                total[:-1] += n * w
+                total[-1] += n
+            return total
+
+        got = summed(own, work, WIDTH + 1)
+        weights = got[:-1] / got[-1] if got[-1] else weights
+        sent.destroy()
+    bins = F.floor(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("value"))) * 25).alias("bin")
+    got = valued(rows.where(held).select("y", "text"), weights).groupBy(bins).agg(F.count("*").alias("n"), F.sum("y").alias("good")).collect()  # at most 2,001 rows
     return weights, *platt(np.array([(r["bin"] + 0.5) / 25 for r in got]), np.array([r["n"] for r in got], float), np.array([r["good"] for r in got], float))
 
 
@@ -115,29 +121,17 @@ def platt(x: np.ndarray, n: np.ndarray, good: np.ndarray, steps: int = 50) -> tu
     return float(a), float(b)
 
 
-def logits(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` with ``__logit``."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, rows=ROWS_A_SLICE):
-            x = _inputs(batch.column("text"), Words(batch.column("text"), exact=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((x @ sent.value).astype(np.float64))], names=[*batch.schema.names, "__logit"])
-
-    return docs.mapInArrow(task, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", __logit double")
-
-
 def judged(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, base_failed, quality (probability) and kept."""
     weights, scale, offset = model
-    sent = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows=ROWS_A_SLICE):
             words = Words(batch.column("text"), exact=True)
             own = counts(words)
             failed = (own["n_words"] < 50) | (100 * own["n_repeat_words"] > 50 * own["n_words"])
-            p = sigmoid(scale * (_inputs(batch.column("text"), words) @ sent.value).astype(np.float64) + offset)
+            p = sigmoid(scale * Grams(words).logits(sent.value) + offset)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id")} | {k: pa.array(v, pa.int64()) for k, v in own.items()} | {"base_failed": pa.array(failed), "quality": pa.array(p), "kept": pa.array(~failed & (p >= threshold))})
 
     own = docs.select("doc_id", "text")
@@ -145,5 +139,6 @@ def judged(docs: DataFrame, model: tuple[np.ndarray, float, float], threshold: f
 
 
 def rules(docs: DataFrame, labels: DataFrame, bound: int = MAX_ROWS) -> DataFrame:
-    return judged(docs, fit(examples(docs, labels, "quality", F.lit(True), bound)))
-
+    with scratch(examples(docs, labels, "quality", F.lit(True), bound)) as rows:
+        model = fit(rows)
+    return judged(docs, model)

@@ -48,8 +48,8 @@ def op5_latent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), _held(5, 0)
-    rows, prior = pu_quality.sample(docs, table(spark, sf_dir, "labels"), ~held)
-    out = pu_quality.scored(docs, pu_quality.fit(rows, prior))
+    weights, _ = pu_quality.trained(docs, table(spark, sf_dir, "labels"), ~held)
+    out = pu_quality.scored(docs, weights)
     return out.select("doc_id", held.alias("held_out"), "score", _verdict(pu_quality.THRESHOLD))
 
 
