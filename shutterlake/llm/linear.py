@@ -169,13 +169,14 @@ class Grams:
         out = np.full(b - a, float(w[-1]))
         for (first, grams), base, width in zip(self.sections, _AT, np.diff(_AT), strict=False):
             begin, end, own = first[a:b], first[a + 1 : b + 1], w[base : base + width]
-            low, total, count = begin[0] if len(begin) else 0, np.zeros(b - a), np.zeros(b - a, np.int64)
+            total, count = np.zeros(b - a), np.zeros(b - a, np.int64)
             for n, index in grams:
-                last = np.maximum(end - n + 1, begin)
-                high = max(int(last.max(initial=0)), low)
-                sums = np.concatenate([np.zeros(1), np.cumsum(own[index[low:high]])])
-                total += sums[last - low] - sums[np.minimum(begin, high) - low]
-                count += last - begin
+                start = np.minimum(begin, len(index))  # texts shorter than n at the end have no place
+                last = np.maximum(end - n + 1, start)
+                low = int(start.min(initial=len(index)))
+                sums = np.concatenate([np.zeros(1), np.cumsum(own[index[low : int(last.max(initial=low))]])])
+                total += sums[last - low] - sums[start - low]
+                count += last - start
             out += total / np.maximum(count, 1)
         return out
 

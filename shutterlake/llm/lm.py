@@ -21,11 +21,12 @@ each; with nothing to learn from every token is unknown and N = V = 0; extra col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import Words, mixed, slices, written
@@ -33,7 +34,8 @@ from shutterlake.llm.common import Words, mixed, slices, written
 BASE = 1.5
 WEIGHT, MIX = 0.45, 30.0
 BITS_AN_ENTRY, PROBES = 12, 6
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
+PIECE = 1 << 18
 TOKENS_A_FLUSH = 2_000_000
 HEAD = 1 << 20
 MAX_BROADCAST = 256 << 20
@@ -77,27 +79,26 @@ def _places(keys: np.ndarray, lev: np.ndarray, bits: int) -> Iterator[np.ndarray
 def built(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The bits of a bucket that holds each key at its levels."""
     bits = max(64, int(levels.sum()) * BITS_AN_ENTRY // 64 * 64 + 64)
-    out = np.zeros(bits // 8, np.uint8)
     flags = np.zeros(bits, bool)
-    for lev in range(1, int(levels.max(initial=0)) + 1):
-        own = keys[levels >= lev]
-        for place in _places(own, np.full(len(own), lev), bits):
-            flags[place] = True
-    out[:] = np.packbits(flags, bitorder="little")
-    return out
+    for a in range(0, len(keys), PIECE):
+        own, high = keys[a : a + PIECE], levels[a : a + PIECE]
+        for lev in range(1, int(high.max(initial=0)) + 1):
+            own, high = own[high >= lev], high[high >= lev]
+            for place in _places(own, np.full(len(own), lev), bits):
+                flags[place] = True
+    return np.packbits(flags, bitorder="little")
 
 
 class Filter:
     """Some buckets of the filter: their bits end to end. ``held``: which of all buckets these are, by their offset; -1: not here."""
 
-    def __init__(self, buckets: int, parts: dict[int, bytes]):
+    def __init__(self, buckets: int, parts: Iterable[tuple[int, bytes]], size: int):
         self.offset, self.bits = np.full(2 * buckets, -1, np.int64), np.zeros(2 * buckets, np.uint64)
-        self.buckets, at, blobs = buckets, 0, []
-        for k, blob in sorted(parts.items()):
+        self.buckets, self.data, at = buckets, np.zeros(max(size, 1), np.uint8), 0
+        for k, blob in parts:
             self.offset[k], self.bits[k] = at, len(blob) * 8
+            self.data[at : at + len(blob)] = np.frombuffer(blob, np.uint8)
             at += len(blob)
-            blobs.append(blob)
-        self.data = np.frombuffer(b"".join(blobs) or b"\0", np.uint8)
 
     def _member(self, keys: np.ndarray, lev: np.ndarray, at: np.ndarray, bits: np.ndarray) -> np.ndarray:
         a = mixed(keys + lev.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -136,7 +137,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def stored(keys: np.ndarray) -> np.ndarray:
-    """What of a pair's hash is kept besides its bucket: 48 bits."""
+    """What of a pair's hash is kept: the lower 48 bits; of many buckets, the number of its own tells it from others besides."""
     return keys & _U((1 << 48) - 1)
 
 
@@ -182,20 +183,22 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
     def merge(group: pa.Table) -> pa.Table:
         bucket = group.column("bucket")[0].as_py()
         pair = bucket >= buckets
-        raw = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint8)
-        if pair:
-            full = np.zeros((len(raw) // 6, 8), np.uint8)
-            full[:, :6] = raw.reshape(-1, 6)
-            raw = full.ravel()
-        keys, n = raw.view(np.uint64), np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64)
+        rows = sum(len(x.as_buffer()) for x in group.column("counts")) // 4
+        keys, n, at = np.zeros(rows, np.uint64), np.zeros(rows, np.int64), 0
+        for k, c in zip(group.column("keys"), group.column("counts"), strict=True):
+            c = np.frombuffer(c.as_buffer(), "<u4")
+            n[at : at + len(c)] = c
+            keys[at : at + len(c)].view(np.uint8).reshape(-1, 8)[:, : 6 if pair else 8] = np.frombuffer(k.as_buffer(), np.uint8).reshape(len(c), -1)
+            at += len(c)
         order = np.argsort(keys)
         keys, n = keys[order], n[order]
+        del order
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, n = keys[starts], np.add.reduceat(n, starts)
-        lev = level(n)
-        words = [] if pair else [{"h": h, "c": c} for h, c in zip(keys.view(np.int64).tolist(), n.tolist(), strict=True)]
-        row = {"bucket": bucket, "bits": built(keys, lev).tobytes(), "most": int(lev.max(initial=0)), "tokens": int(n.sum()), "distinct": len(n), "middles": float(_MIDDLE[lev].sum()), "words": words}
-        return pa.Table.from_pylist([row], schema=_MERGED)
+        lev = level(n).astype(np.uint8)
+        row = {"bucket": [bucket], "bits": [built(keys, lev).tobytes()], "most": [int(lev.max(initial=0))], "tokens": [int(n.sum())], "distinct": [len(n)], "middles": [float(_MIDDLE[lev].sum())]}
+        words = pa.StructArray.from_arrays([pa.array(x[: 0 if pair else None]) for x in (keys.view(np.int64), n)], names=["h", "c"])
+        return pa.Table.from_pydict(row | {"words": pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)}, schema=_MERGED)
 
     kinds = "bucket int, bits binary, most int, tokens bigint, distinct bigint, middles double, words array<struct<h: bigint, c: bigint>>"
     return docs.select("text").mapInArrow(deal, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(merge, kinds)
@@ -256,11 +259,11 @@ class Trained:
             part.append(r["bucket"])
             size += r["bytes"]
         self.parts.append(part)
-        self.merged, self.spark = merged, spark
+        self.merged, self.spark, self.sizes = merged, spark, {r["bucket"]: r["bytes"] for r in sums}
 
     def part(self, i: int) -> Filter:
-        got = self.merged.where(F.col("bucket").isin(self.parts[i])).select("bucket", "bits").toArrow()
-        return Filter(self.buckets, dict(zip(got.column("bucket").to_pylist(), got.column("bits").to_pylist(), strict=True)))
+        rows = self.merged.where(F.col("bucket").isin(self.parts[i])).select("bucket", "bits").toLocalIterator()
+        return Filter(self.buckets, ((r["bucket"], r["bits"]) for r in rows), sum(self.sizes[k] for k in self.parts[i]))
 
 
 def _levels(own: Filter, h: np.ndarray, p: np.ndarray, most: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,10 +274,8 @@ def _levels(own: Filter, h: np.ndarray, p: np.ndarray, most: tuple[int, int]) ->
     return out[0], out[1]
 
 
-def annotated(docs: DataFrame, trained: Trained, i: int) -> DataFrame:
-    """``docs`` with the levels of words and pairs, a byte each, that part ``i`` of the filter knows added to ``__levels``."""
-    sent, model = trained.spark.sparkContext.broadcast(trained.part(i)), trained.model
-    most = model.most
+def annotated(docs: DataFrame, sent: Broadcast[Filter], most: tuple[int, int]) -> DataFrame:
+    """``docs`` with the levels of words and pairs, a byte each, that this part of the filter knows added to ``__levels``."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -303,14 +304,16 @@ def first_scores(docs: DataFrame, trained: Trained) -> DataFrame:
     if not one:
         own = own.withColumn("__levels", F.lit(None).cast("binary"))
         for i in range(len(trained.parts)):
-            own = written(annotated(own, trained, i))
+            sent = trained.spark.sparkContext.broadcast(trained.part(i))
+            own = written(annotated(own, sent, trained.model.most))
+            sent.destroy()
     sent = trained.spark.sparkContext.broadcast(trained.part(0)) if one else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         base = m.base(m.counts)
         kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
-        for batch in slices(batches, size=2 << 20):
+        for batch in slices(batches):
             h, p, first = tokens(batch.column("text"))
             rows = len(first) - 1
             row = np.repeat(np.arange(rows), np.diff(first))

@@ -29,13 +29,13 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     held = _held(3, 1)
-    out = toxicity.scored(docs, toxicity.trained(docs, labels, ~held)).withColumnRenamed("__toxicity", "score")
+    out = toxicity.scored(docs, toxicity.trained(docs, labels, ~held)).withColumnRenamed(toxicity.SCORE, "score")
     return out.select("doc_id", held.alias("held_out"), "score", _verdict(toxicity.THRESHOLD))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pii.rewritten(docs.select("doc_id", "text", "lang", "source", "n_chars")).select("doc_id", "text", F.size("found").alias("n_found"), "found")
+    return pii.rewritten(docs.select("doc_id", "text", "lang", "source", "n_chars"), pii.key_of(spark)).select("doc_id", "text", F.size("found").alias("n_found"), "found")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

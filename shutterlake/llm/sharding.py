@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import seeds, work_dir
+from shutterlake.llm.common import free_names, seeds, work_dir
 
 SHARDS = 24
 BUCKET_BYTES = 32 << 20
@@ -38,14 +38,16 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 8
 
 
-def scatter(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``_shard`` and ``_bucket``. The driver sees the bytes of each shard: one row a shard."""
+def scatter(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> tuple[DataFrame, list[str]]:
+    """``docs`` with a record's shard, bucket and place as last columns, and their names. The driver sees the bytes of each shard."""
+    names = free_names(docs, "_shard", "_bucket", "_place")
     size, shard = size_of(F.col("text")), shard_of(F.col("doc_id"), shards, seed)
     sums = {r["s"]: r["b"] for r in docs.groupBy(shard.alias("s")).agg(F.sum(size).alias("b")).collect()}
     buckets = F.array(*(F.lit(max(1, -(-sums.get(k, 0) // bucket_bytes))) for k in range(shards)))
     place = F.xxhash64(F.monotonically_increasing_id(), F.col("doc_id"), F.lit(seed + 1))
-    out = docs.withColumn("_shard", shard).withColumn("_place", place)
-    return out.withColumn("_bucket", F.pmod(F.col("_place"), F.element_at(buckets, F.col("_shard") + 1)).cast("int"))
+    out = docs.withColumn(names[0], shard).withColumn(names[2], place)
+    bucket = F.pmod(F.col(names[2]), F.element_at(buckets, F.col(names[0]) + 1)).cast("int")
+    return out.withColumn(names[1], bucket).select(*docs.columns, *names), names
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -53,25 +55,29 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).permutation(n)
 
 
-def shuffled(scattered: DataFrame, seed: int = SEED) -> DataFrame:
-    """Each bucket in its random order, as ``_nth``. The order is of the records' hashes first, so a task run again makes it again."""
-    columns = [c for c in scattered.columns if c != "_place"]
+def shuffled(scattered: DataFrame, names: list[str], seed: int = SEED) -> tuple[DataFrame, list[str]]:
+    """Each bucket in its random order, and the names of shard, bucket and place in that order, the last columns. The order is of
+    the records' hashes first, so a task run again makes it again."""
+    shard, bucket_, place = names
+    columns = [c for c in scattered.columns if c != place]
+    (nth,) = free_names(scattered, "_nth")
 
     def order(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.sort_by([("_place", "ascending")])
-        key = seeds(1, seed + (bucket.column("_shard")[0].as_py() << 32) + bucket.column("_bucket")[0].as_py())
+        bucket = bucket.sort_by([(place, "ascending")])
+        key = seeds(1, seed + (bucket.column(shard)[0].as_py() << 32) + bucket.column(bucket_)[0].as_py())
         out = bucket.select(columns).take(pa.array(fisher_yates(bucket.num_rows, int(key[0]))))
-        return out.append_column("_nth", pa.array(np.arange(bucket.num_rows, dtype=np.int64)))
+        return out.append_column(nth, pa.array(np.arange(bucket.num_rows, dtype=np.int64)))
 
     kinds = ", ".join(f"`{c}` {scattered.schema[c].dataType.simpleString()}" for c in columns)
-    return scattered.groupBy("_shard", "_bucket").applyInArrow(order, f"{kinds}, _nth bigint")
+    return scattered.groupBy(shard, bucket_).applyInArrow(order, f"{kinds}, `{nth}` bigint"), [shard, bucket_, nth]
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
-    """Writes the records to ``path``/_shard=k in shuffled order and returns the table as written."""
-    out = shuffled(scatter(docs, shards, bucket_bytes, seed), seed)
-    out.write.partitionBy("_shard").parquet(path)
-    return docs.sparkSession.read.schema(out.schema).parquet(path)
+    """Writes the records to a folder of ``path`` for each shard, in shuffled order, and returns the table as written; its last
+    columns are shard, bucket and place in the bucket (_shard, _bucket, _nth, or alike if columns of ``docs`` have these names)."""
+    out, names = shuffled(*scatter(docs, shards, bucket_bytes, seed), seed)
+    out.write.partitionBy(names[0]).parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path).select(*docs.columns, *names)
 
 
 def slotted(records: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Features: words, pairs of neighbours, and pairs with one or two words between, hashed to BITS bits; a feature is there or not.
 Every coordinate has a learning rate of its own (from its squared gradients) and an L1 threshold, so few weights stay and the
-model is a small sparse table; its bound is 2 ** BITS weights. Learning goes by rounds (``linear``): a task adds to z and n of
-the coordinates that it met in two documents at least and moved by MOVED at least; the next round starts from the mean change
-over the tasks that changed a coordinate, so a rare word that few tasks have seen is not thinned out by the others.
+model is a small sparse table; its bound is 2 ** BITS weights. Coordinates that two of all examples have at least are learned.
+Learning goes by rounds over shards of the examples (``linear``): each shard goes on from the round's z and n document by
+document, and the next round starts from the mean change of a coordinate over the shards that met it, each weighed by its
+root of squared gradients there, so a word that few documents show to be toxic is not thinned out by shards that learned nothing of it.
 
 Defined results: a null or empty text scores by the bias alone (the share of toxic rows); with no labelled rows every score is
 0.5; rows repeated or without id are scored each; extra columns are not read.
@@ -20,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import Words, distinct, mixed, slices
-from shutterlake.llm.linear import MAX_ROWS, examples, sigmoid
+from shutterlake.llm.common import Words, distinct, free_names, mixed, scratch, slices
+from shutterlake.llm.linear import MAX_ROWS, by_shard, examples, sigmoid
 
 BITS = 22
-ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 2.0, 0.0
 ROUNDS = 4
-MOVED = 0.2
+BLOCKS = 16
 THRESHOLD = 0.7
 SCORE = "__toxicity"
 
@@ -47,49 +48,90 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def _learn(batches: Iterator[pa.RecordBatch], z: np.ndarray, n: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coordinates and the changes of z and n after the task's documents, one by one."""
-    seen, y = [], []
+def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Batches, each with its texts' distinct features."""
     for batch in slices(batches):
         row, feature = features(Words(batch.column("text")))
         keys = distinct(row << BITS | feature)
         cuts = np.searchsorted(keys, np.arange(batch.num_rows + 1) << BITS)
-        seen += [(keys[a:b] & ((1 << BITS) - 1)).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        y += batch.column("y").to_pylist()
-    if not seen:
-        return np.zeros(0, np.int32), np.zeros(0), np.zeros(0)
-    often = np.bincount(np.concatenate(seen), minlength=1 << BITS) >= 2
-    z, n = z.copy(), n.copy()
-    z0, n0 = z.copy(), n.copy()
-    for own, label in zip(seen, y, strict=True):
-        own = own[often[own]]
-        w = _weights(z[own], n[own])
+        keys = (keys & ((1 << BITS) - 1)).astype(np.int32)
+        yield batch, [keys[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def often(rows: DataFrame) -> np.ndarray:
+    """Of each coordinate, whether two examples have it at least. A task sends two bits a coordinate, whatever it has read."""
+    width = (1 << BITS) // BLOCKS
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(1 << BITS, bool), np.zeros(1 << BITS, bool)
+        for _, docs in documents(batches):
+            for own in docs:
+                twice[own[once[own]]] = True
+                once[own] = True
+        pack = lambda x: pa.array([np.packbits(part).tobytes() for part in x.reshape(BLOCKS, width)])
+        yield pa.RecordBatch.from_pydict({"k": pa.array(range(BLOCKS), pa.int32()), "once": pack(once), "twice": pack(twice)})
+
+    def met(group: pa.Table) -> pa.Table:
+        once = twice = np.zeros(width // 8, np.uint8)
+        for a, b in zip(group.column("once").to_pylist(), group.column("twice").to_pylist(), strict=True):
+            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            once, twice = once | a, twice | b | (once & a)
+        return pa.Table.from_pydict({"k": group.column("k")[:1], "twice": pa.array([twice.tobytes()])})
+
+    out = np.zeros((BLOCKS, width), bool)
+    for r in rows.mapInArrow(task, "k int, once binary, twice binary").groupBy("k").applyInArrow(met, "k int, twice binary").collect():  # BLOCKS rows
+        out[r["k"]] = np.unpackbits(np.frombuffer(r["twice"], np.uint8)).astype(bool)
+    return out.ravel()
+
+
+def learned(docs: list[np.ndarray], labels: list[int], z: np.ndarray, n: np.ndarray, bias: float) -> None:
+    """FTRL-proximal steps, document by document; changes ``z`` and ``n``."""
+    for own, label in zip(docs, labels, strict=True):
+        zs, ns = z[own], n[own]
+        w = _weights(zs, ns)
         g = sigmoid(bias + w.sum()) - label
-        new = n[own] + g * g
-        z[own] += g - (np.sqrt(new) - np.sqrt(n[own])) / ALPHA * w
+        new = ns + g * g
+        z[own] = zs + g - (np.sqrt(new) - np.sqrt(ns)) / ALPHA * w
         n[own] = new
-    moved = np.flatnonzero(np.abs(z - z0) >= MOVED).astype(np.int32)
-    return moved, (z - z0)[moved], (n - n0)[moved]
 
 
 def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, coordinates, weights) learned from examples (text, y)."""
+    """(bias, coordinates, weights) learned from examples (shard, text, y), written."""
     spark = rows.sparkSession
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     bias = float(np.log((toxic + 0.5) / (total - toxic + 0.5)))
     z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    learn = spark.sparkContext.broadcast(np.packbits(often(rows)) if total else None)
     for _ in range(rounds if total else 0):
         known = np.flatnonzero(n).astype(np.int32)
         sent = spark.sparkContext.broadcast((known, z[known], n[known]))
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             at, zs, ns = sent.value
-            z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
-            z[at], n[at] = zs, ns
-            i, dz, dn = _learn(batches, z, n, bias)
-            yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "dz": pa.array(dz, pa.float32()), "dn": pa.array(dn, pa.float32())})
-
-        got = rows.mapInArrow(task, "i int, dz float, dn float").groupBy("i").agg(F.avg("dz").cast("float").alias("dz"), F.avg("dn").cast("float").alias("dn")).toArrow()
+            allowed = np.unpackbits(learn.value).astype(bool)
+            z0, n0 = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+            z0[at], n0[at] = zs, ns
+            z, n = z0.copy(), n0.copy()
+            dz, dn, weight = (np.zeros(1 << BITS, np.float32) for _ in range(3))
+            for _, part in by_shard(batches):
+                docs, labels = [], []
+                for batch, own in documents(part):
+                    docs += [x[allowed[x]] for x in own]
+                    labels += batch.column("y").to_pylist()
+                learned(docs, labels, z, n, bias)
+                met = distinct(np.concatenate(docs))
+                own = np.sqrt(n[met] - n0[met])
+                dz[met] += own * (z[met] - z0[met])
+                dn[met] += own * own * own
+                weight[met] += own
+                z[met], n[met] = z0[met], n0[met]
+            i = np.flatnonzero(weight).astype(np.int32)
+            for a in range(0, len(i), 1 << 16):
+                k = i[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_pydict({"i": pa.array(k), "dz": pa.array(dz[k]), "dn": pa.array(dn[k]), "weight": pa.array(weight[k])})
+
+        mean = lambda c: (F.sum(c) / F.sum("weight")).cast("float").alias(c)
+        got = rows.mapInArrow(task, "i int, dz float, dn float, weight float").groupBy("i").agg(mean("dz"), mean("dn")).toArrow()  # at most 2 ** BITS rows
         i = got.column("i").to_numpy()
         z[i] += got.column("dz").to_numpy()
         n[i] += got.column("dn").to_numpy()
@@ -107,9 +149,10 @@ def _dense(at: bytes, w: bytes) -> np.ndarray:
 
 
 def scored(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
-    """``docs`` with ``__toxicity``, the probability that a text is toxic; all columns stay."""
+    """``docs`` with the probability that a text is toxic as last column: SCORE, or a like name that is free; all columns stay."""
     bias, at, w = model
     sent = docs.sparkSession.sparkContext.broadcast((bias, at.tobytes(), w.tobytes()))
+    (name,) = free_names(docs, SCORE)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, *sparse = sent.value
@@ -119,11 +162,12 @@ def scored(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> Data
             known = np.flatnonzero(dense[feature])
             keys = distinct(row[known] << BITS | feature[known])
             sums = np.bincount(keys >> BITS, dense[keys & ((1 << BITS) - 1)], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(bias + sums))], names=[*batch.schema.names, "__toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sigmoid(bias + sums))], names=[*batch.schema.names, name])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(task, f"{kinds}, __toxicity double")
+    return docs.mapInArrow(task, f"{kinds}, `{name}` double")
 
 
 def trained(docs: DataFrame, labels: DataFrame, allowed: Column, bound: int = MAX_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
-    return fit(examples(docs, labels, "toxic", allowed, bound))
+    with scratch(examples(docs, labels, "toxic", allowed, bound)) as rows:
+        return fit(rows)

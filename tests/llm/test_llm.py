@@ -9,8 +9,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.llm import chat, latent, lm, order_minhash, packing, pii, pu_quality, quality_rules, queries, sharding, toxicity
-from shutterlake.llm.common import fold
+from shutterlake.llm import chat, latent, linear, lm, order_minhash, packing, pii, pu_quality, quality_rules, queries, sharding, toxicity
+from shutterlake.llm.common import fold, written
 
 random.seed(3)
 WORDS = ["".join(random.choice("abcdefghij") for _ in range(random.randint(2, 7))) for _ in range(3000)]
@@ -215,23 +215,165 @@ def test_quality_counts(spark, hard, labels):
     assert quality_rules.rules(docs.limit(0), labels).count() == 0
 
 
+def noisy(t):
+    return " ".join(w + "#%*"[len(w) % 3] * 3 for w in t.split())
+
+
+@pytest.fixture(scope="module")
+def rated(spark):
+    """Good and noisy texts, two thirds of them labelled."""
+    texts = [noisy(text(60)) if i % 4 == 0 else text(60) for i in range(1200)]
+    docs = table(spark, texts, 100)
+    labels = spark.createDataFrame([(100 + i, int(i % 4 > 0), 0) for i in range(1200) if i % 3], "doc_id bigint, quality int, toxic int")
+    return docs, labels
+
+
+def test_positive_unlabelled_learns(spark, rated):
+    docs, labels = rated
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    weights, prior = pu_quality.trained(docs, labels, ~held)
+    assert 0.65 <= prior <= 0.85
+    got = pu_quality.scored(docs.where(held), weights).collect()
+    assert sum((r["score"] >= 0.3) == ((r["doc_id"] - 100) % 4 > 0) for r in got) >= 0.95 * len(got) > 100
+
+
 def test_positive_unlabelled_hard(spark, hard, labels):
-    rows, prior = pu_quality.sample(hard, labels, F.lit(True))
-    got = pu_quality.scored(hard, pu_quality.fit(rows, prior)).collect()
-    assert len(got) == hard.count() and all(0 <= r["score"] <= 1 for r in got)
+    for marks in (labels, labels.limit(0)):
+        weights, _ = pu_quality.trained(hard, marks, F.lit(True))
+        got = pu_quality.scored(hard, weights).collect()
+        assert len(got) == hard.count() and all(0 <= r["score"] <= 1 for r in got)
+    weights, prior = pu_quality.trained(hard.limit(0), labels, F.lit(True))
+    assert prior == 0.5 and {r["score"] for r in pu_quality.scored(hard, weights).collect()} == {0.5}
+    assert pu_quality.scored(hard.limit(0), weights).count() == 0
+
+
+def test_derivatives_are_those_of_the_risk():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for prior in (0.3, 0.9):
+        z, p = rng.normal(size=40) * 2, rng.random(40) < 0.4
+
+        def risk(z, p=p, prior=prior):
+            loss = lambda x: np.log1p(np.exp(-x))
+            return prior * loss(z[p]).mean() + max(0.0, loss(-z).mean() - prior * loss(-z[p]).mean())
+
+        want = [(risk(z + e) - risk(z - e)) / 2e-5 for e in np.eye(40) * 1e-5]
+        assert np.allclose(pu_quality.non_negative(z, p, prior), want, atol=1e-6)
+
+
+def test_prior_and_scale_from_bins():
+    import numpy as np
+
+    p, u = np.zeros(pu_quality.BINS), np.zeros(pu_quality.BINS)
+    p[600:700], u[600:700], u[300:400] = 1000, 700, 300  # a share of 0.7 of U is like P
+    prior = pu_quality.prior_of(p, u)
+    assert abs(prior - 0.7) < 0.01
+    a, b = pu_quality.calibrated(p, u, prior)
+    x = (np.arange(pu_quality.BINS) + 0.5) / 50 - 10
+    h = 1 / (1 + np.exp(-(a * x + b)))
+    assert abs((u * h).sum() / u.sum() - prior) < 0.02 and h[620] > 0.9 and h[380] < 0.1
+
+
+def test_grams_against_plain_sums():
+    """Values and derivatives of hashed n-grams against sums text by text."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["", "a", "Ab cd", "die Straße führt zum Fluß 字 😀!", text(50), None, "x" * 9]
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=linear.WIDTH)
+    all_ = linear.Grams(linear.Words(pa.array(texts)))
+    one = [linear.Grams(linear.Words(pa.array([t], pa.string()))) for t in texts]
+    assert np.allclose(all_.logits(w), [x.logits(w)[0] for x in one])
+    assert np.allclose(all_.logits(w, 2, 5), all_.logits(w)[2:5])
+    g = rng.normal(size=len(texts))
+    assert np.allclose(all_.gradient(g, 0, len(texts)), sum(x.gradient(g[i : i + 1], 0, 1) for i, x in enumerate(one)))
+    assert np.isclose(all_.gradient(g, 0, len(texts)) @ w, g @ all_.logits(w))  # values are linear in the weights
+    chars = lambda t: [t[i : i + n] for n in linear.CHARS for i in range(len(t) - n + 1)]
+    for t, x in zip(texts, one, strict=True):
+        assert sum(max(0, len(t or "") - n + 1) for n in linear.CHARS) == sum(max(0, int(x.sections[1][0][-1]) - n + 1) for n, _ in x.sections[1][1]) == len(chars(t or ""))
+
+
+def test_quality_classifier_learns(spark, rated):
+    docs, labels = rated
+    got = {r["doc_id"]: r for r in quality_rules.rules(docs, labels).collect()}
+    assert all(r["kept"] == ((k - 100) % 4 > 0) for k, r in got.items() if not r["base_failed"]) and len(got) == 1200
+    bins = collections.Counter(round(r["quality"]) for r in got.values())
+    assert abs(bins[1] - 900) < 30
+
+
+def test_shards_do_not_depend_on_files(spark, rated):
+    """The model is the same however the rows lie in files and tasks."""
+    import numpy as np
+
+    docs, labels = rated
+    a, b = (quality_rules.fit(written(linear.examples(d, labels, "quality", F.lit(True)))) for d in (docs.repartition(1), docs.repartition(7)))
+    assert np.allclose(a[0], b[0], atol=1e-6)
+
+
+def test_toxicity_against_plain_ftrl(spark):
+    """One shard's steps against the update rule written out for dictionaries."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    docs, labels = [np.unique(rng.integers(0, 50, 8)) for _ in range(60)], rng.integers(0, 2, 60).tolist()
+    z, n = np.zeros(1 << toxicity.BITS), np.zeros(1 << toxicity.BITS)
+    toxicity.learned(docs, labels, z, n, -0.5)
+    zs, ns = collections.defaultdict(float), collections.defaultdict(float)
+    for own, y in zip(docs, labels, strict=True):
+        w = {i: 0.0 if abs(zs[i]) <= toxicity.L1 else (math.copysign(toxicity.L1, zs[i]) - zs[i]) / ((toxicity.BETA + math.sqrt(ns[i])) / toxicity.ALPHA) for i in own.tolist()}
+        g = 1 / (1 + math.exp(0.5 - sum(w.values()))) - y
+        for i in w:
+            zs[i] += g - (math.sqrt(ns[i] + g * g) - math.sqrt(ns[i])) / toxicity.ALPHA * w[i]
+            ns[i] += g * g
+    assert np.allclose([z[i] for i in zs], list(zs.values())) and np.allclose([n[i] for i in ns], list(ns.values()))
 
 
 def test_pii_round_trip_and_links(spark, hard):
-    value = "Mail jo.doe+x@site.org, card 4111 1111 1111 1111, call +1 (212) 555-0187, 10.20.30.40, ssn 219-09-9999, 2023-05-17, 31/12/1999, IBAN GB82 WEST 1234 5698 7654 32, not 4111 1111 1111 1112 or 2023-02-30."
+    value = "Mail jo.doe+x@site.org, card 4111 1111 1111 1111, call +1 (212) 555-0187, 10.20.30.40, ssn 219-09-9999, 2023-05-17, 31/12/1999, IBAN GB82 WEST 1234 5698 7654 32, not 4111 1111 1111 1112 or 2023-02-30. Or +44 20 7946 0958, +33 1 23 45 67 89, +49 30 12345678."
     docs = table(spark, [value, "again jo.doe+x@site.org", "no data"], 50).unionByName(hard)
-    out = pii.rewritten(docs)
-    back = pii.rewritten(out.drop("found"), back=True)
+    docs = docs.withColumn("found", F.lit(7)).withColumn("__has", F.lit("own"))  # names that the operator would like
+    out = pii.rewritten(docs, "k")
+    assert out.columns == [*docs.columns, "found_"]
+    back = pii.rewritten(out.drop("found_"), "k", back=True)
     by = {r["doc_id"]: r for r in out.collect()}
-    assert len(by[50]["found"]) == 8 and by[50]["text"] != value
-    assert "4111 1111 1111 1112" in by[50]["text"] and "2023-02-30" in by[50]["text"]
-    assert by[50]["found"][0]["value"] == by[51]["found"][0]["value"] != "jo.doe+x@site.org"
+    assert len(by[50]["found_"]) == 11 and by[50]["text"] != value and by[50]["__has"] == "own"
+    assert "4111 1111 1111 1112" in by[50]["text"] and "2023-02-30" in by[50]["text"] and "+44 " in by[50]["text"]
+    assert by[50]["found_"][0]["value"] == by[51]["found_"][0]["value"] != "jo.doe+x@site.org"
     want = sorted(str(r["text"]) for r in docs.collect())
     assert sorted(str(r["text"]) for r in back.collect()) == want
+    assert pii.rewritten(docs.limit(0)).count() == 0
+
+
+def test_pii_dates_stay_apart(spark):
+    """Every day of 40 years in five forms: different ones stay different, and come back."""
+    days = spark.range(0, 14_610).select(F.date_add(F.lit("1980-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    forms = ["yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "MM-dd-yyyy"]
+    all_ = days.select(F.explode(F.array(*(F.date_format("d", f) for f in forms))).alias("text")).distinct().withColumn("own", F.col("text"))
+    out = pii.rewritten(all_, "k").where(F.size("found") == 1).select("text", "own")
+    n = all_.count()
+    back = pii.rewritten(out, "k", back=True).agg(F.count("*"), F.count_if(F.col("text") == F.col("own"))).first()
+    assert out.select("text").distinct().count() == n and tuple(back) == (n, n)
+
+
+def test_pii_against_plain_feistel(spark):
+    import hashlib
+
+    def plain(d, tweak, key):
+        n = len(d)
+        x, y = int(d[: n // 2]), int(d[n // 2 :])
+        h = lambda i, v: int(hashlib.sha256("|".join([key, f"{tweak}{n}", str(i), str(v)]).encode()).hexdigest()[:15], 16)
+        for i in range(pii.ROUNDS):
+            if i % 2 == 0:
+                x = (x + h(i, y)) % 10 ** (n // 2)
+            else:
+                y = (y + h(i, x)) % 10 ** (n - n // 2)
+        return f"{x:0{n // 2}d}{y:0{n - n // 2}d}"
+
+    own = ["2079460958", "0123456", "99999999999999"]
+    got = spark.createDataFrame([(d,) for d in own], "d string").select(pii.digits(F.col("d"), "phone", "k")).collect()
+    assert [r[0] for r in got] == [plain(d, "phone", "k") for d in own]
 
 
 def test_packing_is_whole(spark, hard):
@@ -249,11 +391,38 @@ def test_packing_is_whole(spark, hard):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(packing.public_tokenizers.path(packing.TOKENIZER))
-    want = sorted(len(own.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
-    assert sum(want) == sum(r["length"] for r in got)
+    want = []
+    for r in docs.collect():
+        ids = [*own.encode(r["text"] or "", add_special_tokens=False).ids, packing.END_ID]
+        for a in range(0, len(ids), packing.LENGTH):
+            part = ids[a : a + packing.LENGTH]
+            want.append((str(r["doc_id"]), a, len(part), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in part)), len(ids)))
+    assert sorted(want) == sorted((str(r["doc_id"]), r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got)
+    # no more sequences than piece by piece, longest first, each into the fullest with room
+    room = []
+    for n in sorted((x[2] for x in want), reverse=True):
+        fits = [k for k, x in enumerate(room) if x >= n]
+        if fits:
+            room[min(fits, key=lambda k: room[k])] -= n
+        else:
+            room.append(packing.LENGTH - n)
+    assert len(by) <= 1.03 * len(room) + 1
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_word_ids_are_the_tokenizers(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    parts = ["<|", "|>", "'", "''", "don't", "ß", "É", "字", "😀", "\x00", "\x1c", "\u00a0", "\u2028", "A", "bC", "...", "-", "1", "23", " ", "\n", "\t", "é", "€"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(3000)]
+    own = Tokenizer.from_file(packing.public_tokenizers.path(packing.TOKENIZER))
+    ids, first = packing.word_encoder()()(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[first[i] : first[i + 1]].tolist() == own.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_sharding_law(spark, hard):
     docs = hard.unionByName(table(spark, [text(9) for _ in range(300)], 50))
     got = sharding.digest(docs).collect()
@@ -261,13 +430,51 @@ def test_sharding_law(spark, hard):
     for k in range(24):
         own = [r for r in got if r["shard"] == k]
         assert sorted(r["slot"] for r in own) == list(range(len(own)))
-    assert all(r["grown_shard"] in (r["shard"], 24) for r in got)
+    assert all(r["grown_shard"] in (r["shard"], 24) for r in got) and any(r["grown_shard"] == 24 for r in got)
+    rows = [(str(r["doc_id"]), len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in docs.collect()]
+    assert sorted(rows) == sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got)
+    again = sharding.digest(docs.repartition(3)).collect()
+    assert {(r["doc_id"], r["shard"]) for r in got} == {(r["doc_id"], r["shard"]) for r in again}
+    order = [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"])) if r["shard"] == 3]
+    assert order != sorted(order, key=str)
+    assert sharding.digest(docs.limit(0)).count() == 0
+
+
+def test_sharding_keeps_columns_of_like_names(spark, tmp_path):
+    docs = table(spark, [text(5) for _ in range(40)]).withColumn("_shard", F.lit("mine")).withColumn("_place", F.lit(3)).withColumn("_bucket", F.lit(4))
+    back = sharding.write_shards(docs, f"{tmp_path}/out")
+    assert set(docs.columns) <= set(back.columns) and back.where("_shard = 'mine' AND _place = 3 AND _bucket = 4").count() == 40
 
 
 def test_chat_keeps_maximal(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "bot", "ho"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "ho"), (4, 0, None, None), (None, 0, "user", "x"), (None, 0, "user", "x")]
-    got = {r["conv_id"]: (r["n_turns"], r["copies"]) for r in chat.render(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    kinds = "conv_id bigint, turn bigint, role string, text string"
+    got = {r["conv_id"]: (r["n_turns"], r["copies"]) for r in chat.render(spark.createDataFrame(turns, kinds)).collect()}
     assert got == {1: (2, 2), 4: (1, 1), None: (1, 1)}
+    assert chat.render(spark.createDataFrame([], kinds)).count() == 0
+    odd = spark.createDataFrame([(1, 0, "user", LONG, 5, 6)], kinds + ", n int, place int")
+    assert chat.render(odd).first()["rendered"] == f"<|im_start|>user\n{LONG}<|im_end|>\n"
+
+
+def test_lm_scores_are_those_of_the_levels(spark):
+    """The score against the formula with levels from exact counts: the filter may only add what its false members add."""
+    import numpy as np
+
+    texts = [text(30) for _ in range(120)] + ["the same words again and again"] * 9
+    got = {r["doc_id"]: r["score"] for r in lm.scored(table(spark, texts), lm.Trained(table(spark, texts))).collect()}
+    split = [[*t.split(), "</s>"] for t in texts]
+    words = collections.Counter(w for s in split for w in s)
+    pairs = collections.Counter(p for s in split for p in zip(["<s>", *s], s, strict=False))
+    lev = lambda n: int(lm.level(np.array([n]))[0])
+    middle = {w: lm._MIDDLE[lev(n)] for w, n in words.items()}
+    total = sum(middle.values())
+    for i, s in enumerate(split):
+        want = 0.0
+        for h, w in zip(["<s>", *s], s, strict=False):
+            up = lm._UP[lev(len(texts) if h == "<s>" else words[h])]
+            a = lm.WEIGHT * up / (up + lm.MIX)
+            want += math.log10(a * min(1.0, lm._LOW[lev(pairs[h, w])] / up) + (1 - a) * (middle[w] + 1) / (total + len(words) + 1))
+        assert abs(got[i] - want) < 0.02 * abs(want)
 
 
 def test_pipeline_keeps_clean_documents(spark):
@@ -282,5 +489,15 @@ def test_pipeline_keeps_clean_documents(spark):
     assert corpus_pipeline.run(spark, d).count() > 0
 
 
+def test_queries_mark_folds_and_verdicts(spark):
+    d = "/root/testdata/sf0.001"
+    for name, mod, left, cut in (("op2_toxicity", 3, 1, 0.7), ("op7_pu_quality", 5, 0, 0.3), ("op1_lm_score", 7, 2, None)):
+        got = queries.queries()[name](spark, d).collect()
+        assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
+        for r in got:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % mod == left)
+            assert cut is None or 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut)
+
+
 def test_queries_are_registered():
     assert {re.match(r"op\d+", k)[0] for k in queries.queries()} == {f"op{n}" for n in range(1, 11)}
