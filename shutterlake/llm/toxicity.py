@@ -4,8 +4,10 @@ Features: words, pairs of neighbours, and pairs with one or two words between, h
 Every coordinate has a learning rate of its own (from its squared gradients) and an L1 threshold, so few weights stay and the
 model is a small sparse table; its bound is 2 ** BITS weights. Coordinates that two of all examples have at least are learned.
 Learning goes by rounds over shards of the examples (``linear``): each shard goes on from the round's z and n document by
-document, and the next round starts from the mean change of a coordinate over the shards that met it, each weighed by its
-root of squared gradients there, so a word that few documents show to be toxic is not thinned out by shards that learned nothing of it.
+document, and the next round starts from the mean change of a coordinate over the shards that moved its z by MOVED at least, so
+a word that few shards have is not thinned out by the others. Smaller moves are not sent: a coordinate that no shard ever moves
+so far would stay within ROUNDS * MOVED, below L1, and have weight 0 with them too. Shards are dealt by a hash, so none of this
+depends on files or tasks.
 
 Defined results: a null or empty text scores by the bias alone (the share of toxic rows); with no labelled rows every score is
 0.5; rows repeated or without id are scored each; extra columns are not read.
@@ -25,8 +27,9 @@ from shutterlake.llm.common import Words, distinct, free_names, mixed, scratch,
 from shutterlake.llm.linear import MAX_ROWS, by_shard, examples, sigmoid
 
 BITS = 22
-ALPHA, BETA, L1, L2 = 4.0, 1.0, 2.0, 0.0
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
 ROUNDS = 4
+MOVED = 0.2
 BLOCKS = 16
 THRESHOLD = 0.7
 SCORE = "__toxicity"
@@ -112,7 +115,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.nd
             z0, n0 = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
             z0[at], n0[at] = zs, ns
             z, n = z0.copy(), n0.copy()
-            dz, dn, weight = (np.zeros(1 << BITS, np.float32) for _ in range(3))
+            dz, dn, shards = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.int32)
             for _, part in by_shard(batches):
                 docs, labels = [], []
                 for batch, own in documents(part):
@@ -120,18 +123,18 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.nd
                     labels += batch.column("y").to_pylist()
                 learned(docs, labels, z, n, bias)
                 met = distinct(np.concatenate(docs))
-                own = np.sqrt(n[met] - n0[met])
-                dz[met] += own * (z[met] - z0[met])
-                dn[met] += own * own * own
-                weight[met] += own
+                moved = met[np.abs(z[met] - z0[met]) >= MOVED]
+                dz[moved] += z[moved] - z0[moved]
+                dn[moved] += n[moved] - n0[moved]
+                shards[moved] += 1
                 z[met], n[met] = z0[met], n0[met]
-            i = np.flatnonzero(weight).astype(np.int32)
+            i = np.flatnonzero(shards).astype(np.int32)
             for a in range(0, len(i), 1 << 16):
                 k = i[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"i": pa.array(k), "dz": pa.array(dz[k]), "dn": pa.array(dn[k]), "weight": pa.array(weight[k])})
+                yield pa.RecordBatch.from_pydict({"i": pa.array(k), "dz": pa.array(dz[k]), "dn": pa.array(dn[k]), "shards": pa.array(shards[k])})
 
-        mean = lambda c: (F.sum(c) / F.sum("weight")).cast("float").alias(c)
-        got = rows.mapInArrow(task, "i int, dz float, dn float, weight float").groupBy("i").agg(mean("dz"), mean("dn")).toArrow()  # at most 2 ** BITS rows
+        mean = lambda c: (F.sum(c) / F.sum("shards")).cast("float").alias(c)
+        got = rows.mapInArrow(task, "i int, dz float, dn float, shards int").groupBy("i").agg(mean("dz"), mean("dn")).toArrow()  # at most 2 ** BITS rows
         i = got.column("i").to_numpy()
         z[i] += got.column("dz").to_numpy()
         n[i] += got.column("dn").to_numpy()
