@@ -36,7 +36,7 @@ WEIGHT, MIX = 0.45, 30.0
 BITS_AN_ENTRY, PROBES = 12, 6
 BUCKET_BYTES = 16 << 20
 PIECE = 1 << 18
-TOKENS_A_FLUSH = 2_000_000
+TOKENS_A_FLUSH = 1_000_000
 HEAD = 1 << 20
 MAX_BROADCAST = 256 << 20
 _U = np.uint64
