@@ -15,8 +15,8 @@ from shutterlake.llm.common import table, written
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below toxicity.THRESHOLD by a model of all labelled documents of the tables."""
     model = toxicity.trained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.lit(True))
-    name = toxicity.SCORE
-    return toxicity.scored(docs, model).where(F.col(name) < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.scored(docs, model)
+    return scored.where(F.col(scored.columns[-1]) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
