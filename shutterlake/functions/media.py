@@ -24,12 +24,12 @@ def weekday_order(c: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for k, d in enumerate(WEEKDAYS, 1) for x in (d, k)))[c], F.lit(8))
 
 
-def cover_rank() -> list[Column]:
-    """Sort orders that put the best cover first."""
+def cover_rank() -> Column:
+    """A struct that is largest for the best cover of a group."""
     faces, own = F.col("face_count") > 0, tags("expression_tags")
-    first = F.when(faces & F.array_contains(own, "happy"), 1).when(faces & F.array_contains(own, "neutral"), 2).when(faces, 3).when(F.col("person_count") > 0, 4).otherwise(5)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).desc()
-    return [first.asc(), zero("preferred_face_quality"), zero("face_count"), zero("person_count"), F.col("captured_at").desc_nulls_last(), F.col("id").desc()]
+    first = F.when(faces & F.array_contains(own, "happy"), 5).when(faces & F.array_contains(own, "neutral"), 4).when(faces, 3).when(F.col("person_count") > 0, 2).otherwise(1)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return F.struct(first.alias("first"), zero("preferred_face_quality"), zero("face_count"), zero("person_count"), "captured_at", "id")  # a null is below all
 
 
 def cleanup_score() -> Column:

@@ -9,43 +9,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.functions.vectors import dot, hamming
+from shutterlake.functions.vectors import hamming
+from shutterlake.sources.shared import kept
+
+
+#: Rows of a user are compared in tiles of two blocks of about so many rows each.
+BLOCK = 2_048
+#: Bands of at least so many bits are worth an equi-join.
+BAND_BITS = 7
+
+
+def tiles(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` (user_id, id, ...) with (i, j, own): each pair of a user's rows is in just one tile (user_id, i, j), each tile in
+    one task. A user with many rows has many tiles; own is the block of the row."""
+    counts = rows.groupBy("user_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(counts, "user_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
+
+
+def _sides(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the tile's two blocks; the same rows twice if it has one."""
+    own = tile.column("own").to_numpy()
+    i, j = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+    return np.flatnonzero(own == i), np.flatnonzero(own == j)
 
 
 def hamming_pairs(rows: DataFrame, distance: int) -> DataFrame:
     """(user_id, a, b, d), a < b, of hashes (user_id, id, h) at most ``distance`` apart.
 
-    The 64 bits are cut into distance + 1 bands: such hashes agree on one, so an equi-join on bands finds all.
+    Where the 64 bits make distance + 1 bands of BAND_BITS or more, such hashes agree on one, and a pair comes from the first
+    band that it agrees on. Where bands would be too short to tell rows apart, tiles are compared whole.
     """
+    if 64 // (distance + 1) < BAND_BITS:
+        return _near_in_tiles(rows, distance)
     edges = [round(k * 64 / (distance + 1)) for k in range(distance + 2)]
-    bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
+    band = lambda h, k: F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1))
+    bands = F.array(*(F.struct(F.lit(k).alias("k"), band(F.col("h"), k).alias("v")) for k in range(distance + 1)))
     cut = rows.select("user_id", "id", "h", F.explode(bands).alias("band"))
     a, b = (cut.select("user_id", "band", F.col("id").alias(x), F.col("h").alias("h" + x)) for x in "ab")
     near = a.join(b, ["user_id", "band"]).where("a < b").withColumn("d", hamming(F.col("ha"), F.col("hb"))).where(F.col("d") <= distance)
-    return near.select("user_id", "a", "b", "d").distinct()
+    first = F.coalesce(*(F.when(band(F.col("ha"), k) == band(F.col("hb"), k), k) for k in range(distance + 1)))
+    return near.where(F.col("band.k") == first).select("user_id", "a", "b", "d")
 
 
-def star_groups(pairs: DataFrame) -> DataFrame:
-    """(user_id, seed, id): seeds in order of id take all their neighbours that no earlier seed took.
+def _near_in_tiles(rows: DataFrame, distance: int) -> DataFrame:
+    def look(tile: pa.Table) -> pa.Table:
+        ids, h = tile.column("id").to_numpy(), tile.column("h").to_numpy().view(np.uint64)
+        left, right = _sides(tile)
+        d = np.bitwise_count(h[left][:, None] ^ h[right][None, :])
+        x, y = np.nonzero(d <= distance)
+        a, b, d = ids[left[x]], ids[right[y]], d[x, y]
+        once = a < b if tile.column("i")[0] == tile.column("j")[0] else a != b
+        a, b = np.minimum(a, b)[once], np.maximum(a, b)[once]
+        return pa.Table.from_pydict({"user_id": pa.array(np.full(len(a), tile.column("user_id")[0].as_py(), np.int64)), "a": pa.array(a), "b": pa.array(b), "d": pa.array(d[once].astype(np.int32))})
+
+    own = tiles(rows.where("h IS NOT NULL").select("user_id", "id", "h"))
+    return own.groupBy("user_id", "i", "j").applyInArrow(look, "user_id bigint, a bigint, b bigint, d int")
 
-    Greedy by definition, so a user's links (not rows) are walked in one task.
-    """
 
-    def walk(links: pa.Table) -> pa.Table:
-        near: dict[int, list[int]] = {}
-        for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist(), strict=True):
-            near.setdefault(a, []).append(b)
-        used: set[int] = set()
-        out: list[tuple[int, int]] = []
-        for seed in sorted(near):
-            members = [x for x in near[seed] if x not in used]
-            if seed not in used and members:
-                used |= {seed, *members}
-                out += [(seed, x) for x in (seed, *members)]
-        user = links.column("user_id")[0].as_py()
-        return pa.Table.from_pydict({"user_id": pa.array([user] * len(out), pa.int64()), "seed": pa.array([x for x, _ in out], pa.int64()), "id": pa.array([x for _, x in out], pa.int64())})
+def star_groups(pairs: DataFrame) -> DataFrame:
+    """(user_id, seed, id): seeds in order of id take all their larger neighbours (pairs a < b) that no earlier seed took.
 
-    return pairs.groupBy("user_id").applyInArrow(walk, "user_id bigint, seed bigint, id bigint")
+    So an id leads unless a smaller neighbour leads. Rounds of joins settle it: an id whose smaller neighbours are all settled
+    and don't lead, leads; its neighbours don't. Each id then belongs to its smallest leading neighbour. No user's links meet
+    in one task.
+    """
+    links = kept(pairs.select("user_id", "a", "b").distinct())
+    open_ = kept(links.select("user_id", F.explode(F.array("a", "b")).alias("id")).distinct())
+    leads = None
+    left = links
+    while not open_.isEmpty():
+        behind = left.select("user_id", F.col("b").alias("id")).distinct()
+        new = kept(open_.join(behind, ["user_id", "id"], "left_anti"))
+        leads = new if leads is None else leads.unionByName(new)
+        taken = left.join(new.withColumnRenamed("id", "a"), ["user_id", "a"]).select("user_id", F.col("b").alias("id")).distinct()
+        gone = kept(new.unionByName(taken))
+        open_ = kept(open_.join(gone, ["user_id", "id"], "left_anti"))
+        for side in ("a", "b"):  # links of settled ids have no say any more
+            left = left.join(gone.withColumnRenamed("id", side), ["user_id", side], "left_anti")
+        left = kept(left)
+    if leads is None:
+        return pairs.select("user_id", F.col("a").alias("seed"), F.col("b").alias("id")).limit(0)
+    members = links.join(leads.withColumnRenamed("id", "a"), ["user_id", "a"]).groupBy("user_id", F.col("b").alias("id")).agg(F.min("a").alias("seed"))
+    members = kept(members.select("user_id", "seed", "id"))
+    return members.unionByName(members.select("user_id", "seed", F.col("seed").alias("id")).distinct())
 
 
 def most_alike(vectors: DataFrame, query: list[float], least: float, k: int) -> DataFrame:
@@ -70,9 +118,28 @@ def centroids(faces: DataFrame) -> DataFrame:
 
 
 def cluster_distances(faces: DataFrame) -> DataFrame:
-    """(user_id, a, b, distance) of a user's clusters a < b: the least cosine distance between their faces."""
-    x, y = (faces.select("user_id", F.col("cluster_id").alias(s), F.col("embedding").alias("e" + s)) for s in "ab")
-    return x.join(y, "user_id").where("a < b").groupBy("user_id", "a", "b").agg(F.min(1 - dot(F.col("ea"), F.col("eb"))).alias("distance"))
+    """(user_id, a, b, distance) of a user's clusters a < b: the least cosine distance between their faces (unit vectors).
+
+    Products of tiles as matrices, and of each tile the least for each two clusters; only these meet.
+    """
+
+    def look(tile: pa.Table) -> pa.Table:
+        cluster = tile.column("cluster_id").to_numpy()
+        flat = tile.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        left, right = _sides(tile)
+        v = flat.reshape(len(cluster), -1)
+        order_l, order_r = left[np.argsort(cluster[left], kind="stable")], right[np.argsort(cluster[right], kind="stable")]
+        d = 1 - v[order_l] @ v[order_r].T
+        cl, at_l = np.unique(cluster[order_l], return_index=True)
+        cr, at_r = np.unique(cluster[order_r], return_index=True)
+        least = np.minimum.reduceat(np.minimum.reduceat(d, at_l, axis=0), at_r, axis=1)
+        x, y = np.nonzero(cl[:, None] != cr[None, :])
+        a, b = cl[x], cr[y]
+        return pa.Table.from_pydict({"user_id": pa.array(np.full(len(a), tile.column("user_id")[0].as_py(), np.int64)), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "distance": pa.array(least[x, y])})
+
+    own = tiles(faces.where("cluster_id IS NOT NULL AND embedding IS NOT NULL").select("user_id", F.col("face_id").alias("id"), "cluster_id", "embedding"))
+    found = own.groupBy("user_id", "i", "j").applyInArrow(look, "user_id bigint, a bigint, b bigint, distance double")
+    return found.groupBy("user_id", "a", "b").agg(F.min("distance").alias("distance"))
 
 
 def overlaps(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -9,13 +9,9 @@ from shutterlake.functions.media import cover_rank
 
 
 def groups(media: DataFrame, key: Column) -> DataFrame:
-    """(key, n, cover_id) of each group: the first of ``cover_rank`` is the cover.
-
-    One pass: the count is a window over the same partitions as the rank, so media and covers are not joined.
-    """
-    own = Window.partitionBy("key")
-    ranked = media.withColumn("key", key).withColumn("rn", F.row_number().over(own.orderBy(*cover_rank()))).withColumn("n", F.count("*").over(own))
-    return ranked.where("rn = 1").select("key", "n", F.col("id").alias("cover_id"))
+    """(user_id, key, n, cover_id) of each user's groups: the best by ``cover_rank`` is the cover. One partial aggregation: a key
+    that many rows have is no hot one."""
+    return media.groupBy("user_id", key.alias("key")).agg(F.count("*").alias("n"), F.max(cover_rank())["id"].alias("cover_id"))
 
 
 def facet(media: DataFrame, key: Column) -> DataFrame:
@@ -43,7 +39,16 @@ def displayable(edges: DataFrame, media: DataFrame, least: int = 2) -> DataFrame
     return edges.join(media.select(F.col("id").alias("media_id")), "media_id", "left_semi").groupBy("album_id").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+#: Ids are numbered in runs of so many, so that a name of many files is no hot key.
+RUN = 1 << 16
+
+
 def numbered_names(files: DataFrame) -> DataFrame:
     """File names made distinct: the second of a name gets the suffix _1, and so on, by id."""
-    nth = F.row_number().over(Window.partitionBy("name").orderBy("id")) - 1
-    return files.withColumn("k", nth).withColumn("unique_name", F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), "k"))).drop("k")
+    cut = files.withColumn("run", F.floor(F.col("id") / RUN))
+    counts = cut.groupBy("name", "run").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("name").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("name", "run", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("name", "run").orderBy("id")) - 1
+    numbered = cut.withColumn("nth", nth).join(bases, ["name", "run"]).withColumn("k", F.col("base") + F.col("nth"))
+    return numbered.select(*files.columns, F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), "k")).alias("unique_name"))

@@ -30,9 +30,10 @@ def terms(text: Column) -> Column:
     return F.array_union(cjk_terms(text), latin_terms(text))
 
 
-def term_index(docs: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """(media_id, field, term) of columns by field name."""
-    own = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), terms(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for f, c in fields.items()))).alias("f")
+def term_index(docs: DataFrame, fields: dict[str, str], wanted: list[str] | None = None) -> DataFrame:
+    """(media_id, field, term) of columns by field name; of ``wanted`` terms only, if given, before any row is made of them."""
+    some = lambda t: F.array_intersect(t, F.array(*map(F.lit, wanted))) if wanted is not None else t
+    own = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), some(terms(F.coalesce(F.col(c), F.lit("")))).alias("terms")) for f, c in fields.items()))).alias("f")
     return docs.select("media_id", own).select("media_id", F.col("f.field").alias("field"), F.explode("f.terms").alias("term"))
 
 
@@ -73,6 +74,9 @@ def fused(channels: dict[str, DataFrame]) -> DataFrame:
 
 
 def position_scores(ranked: DataFrame, base: int = 28, least: int = 6) -> DataFrame:
-    """(media_id, score) from places in the order of falling BM25, ties by id."""
-    place = F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "media_id")) - 1
-    return ranked.select("media_id", F.greatest(F.lit(least), base - place).alias("score"))
+    """(media_id, score) from places in the order of falling BM25, ties by id. Only the first base - least places differ, so only
+    so many rows are put in order; they are broadcast."""
+    order = [F.round("score", 9).desc(), F.col("media_id")]
+    top = ranked.orderBy(*order).limit(base - least)
+    top = top.select("media_id", (base + 1 - F.row_number().over(Window.orderBy(*order))).alias("high"))
+    return ranked.join(F.broadcast(top), "media_id", "left").select("media_id", F.coalesce("high", F.lit(least)).alias("score"))

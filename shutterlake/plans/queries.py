@@ -34,12 +34,12 @@ _COVER = f"CASE WHEN face_count > 0 AND {_HAPPY.format('happy')} THEN 1 WHEN fac
 
 
 def _groups_sql(key: str) -> str:
-    return _LIVE + f"SELECT key, n, id AS cover_id FROM (SELECT {key} AS key, id, count(*) OVER (PARTITION BY {key}) AS n, row_number() OVER (PARTITION BY {key} ORDER BY {_COVER}) AS rn FROM live WHERE user_id = 1) WHERE rn = 1"
+    return _LIVE + f"SELECT user_id, key, n, id AS cover_id FROM (SELECT user_id, {key} AS key, id, count(*) OVER (PARTITION BY user_id, {key}) AS n, row_number() OVER (PARTITION BY user_id, {key} ORDER BY {_COVER}) AS rn FROM live) WHERE rn = 1"
 
 
 for _k in ("year", "month", "date"):
-    _add(f"timeline_groups_{_k}", lambda s, d, k=_k: rollups.groups(_live(s, d).where("user_id = 1"), F.col(f"{k}_key")), _groups_sql(f"{_k}_key"))
-_add("location_groups", lambda s, d: rollups.groups(_live(s, d).where("user_id = 1"), F.coalesce(media.place(), F.lit("unknown"))), _groups_sql("coalesce(place, 'unknown')"))
+    _add(f"timeline_groups_{_k}", lambda s, d, k=_k: rollups.groups(_live(s, d), F.col(f"{k}_key")), _groups_sql(f"{_k}_key"))
+_add("location_groups", lambda s, d: rollups.groups(_live(s, d), F.coalesce(media.place(), F.lit("unknown"))), _groups_sql("coalesce(place, 'unknown')"))
 
 for _k, _key in {"city": "coalesce(place, 'unknown')", "year": "year_key", "month": "month_key", "weekday": "day_key"}.items():
     _add(f"facet_{_k}", lambda s, d, k=_k, key=_key: rollups.facet(_live(s, d), F.coalesce(media.place(), F.lit("unknown")) if k == "city" else F.col(key)), _LIVE + f"SELECT {_key} AS key, count(*) AS n FROM live GROUP BY 1")
@@ -88,7 +88,8 @@ _add("failure_counts", lambda s, d: _live(s, d).groupBy("user_id").agg(F.count_i
 _add("export_names", lambda s, d: rollups.numbered_names(_live(s, d).select("id", F.coalesce(media.place(), F.lit("unknown")).alias("name"))), _LIVE + "SELECT id, name, CASE WHEN k = 1 THEN name ELSE name || '_' || (k - 1) END AS unique_name FROM (SELECT id, coalesce(place, 'unknown') AS name, row_number() OVER (PARTITION BY coalesce(place, 'unknown') ORDER BY id) AS k FROM live)")
 _add("cleanup_rank_score", lambda s, d: _live(s, d).select("id", media.cleanup_score().alias("score")),
      _LIVE + f"SELECT id, CAST(is_favorite * 1e13 + round(least(greatest(sharpness_score, 0), 1) * 1000) * 1e9 + round(least(ln(1 + width_px * height_px) / ln(1 + 40000000), 1) * 1000) * 1e6 + CAST({_HAPPY.format('happy')} AS INT) * 1e5 + least(face_count, 99) * 1e3 + least(person_count, 99) AS DOUBLE) AS score FROM live")
-_add("blur_flags", lambda s, d: filters.page(_live(s, d).where("sharpness_score < 0.25"), [F.col("sharpness_score"), F.col("id")], 1, 200).select("id", "sharpness_score"), _LIVE + "SELECT id, sharpness_score FROM live WHERE sharpness_score < 0.25 ORDER BY sharpness_score, id LIMIT 200")
+_add("blur_flags", lambda s, d: _live(s, d).where("sharpness_score < 0.25").select("id", "sharpness_score"), _LIVE + "SELECT id, sharpness_score FROM live WHERE sharpness_score < 0.25")
+_add("blurry_page", lambda s, d: filters.page(_live(s, d).where("sharpness_score < 0.25"), [F.col("sharpness_score"), F.col("id")], 1, 200).select("id", "sharpness_score"), _LIVE + "SELECT id, sharpness_score FROM live WHERE sharpness_score < 0.25 ORDER BY sharpness_score, id LIMIT 200")
 _add("orientation_class", lambda s, d: _live(s, d).select("id", *(c.alias(n) for c, n in zip(media.oriented(), ("aspect", "layout"), strict=True))),
      _LIVE + "SELECT id, aspect, CASE WHEN aspect > 2.5 THEN 'panorama' WHEN aspect > 1.2 THEN 'landscape' WHEN aspect < 0.8 THEN 'portrait' ELSE 'square' END AS layout FROM (SELECT id, round(CASE WHEN raw_orientation BETWEEN 5 AND 8 THEN height_px / width_px ELSE width_px / height_px END, 3) AS aspect FROM live)")
 
@@ -106,8 +107,8 @@ i AS (SELECT DISTINCT media_id, field, unnest(list_concat(regexp_extract_all(low
 """
 _RECALL = "SELECT media_id, CAST(sum(CASE field WHEN 'description' THEN 200 WHEN 'keywords' THEN 180 ELSE 100 END + CASE WHEN length(term) >= 2 THEN 40 ELSE 16 END) AS BIGINT) AS score, count(DISTINCT term) AS hits FROM i WHERE term IN ('the', 'src3', 'en', 'that') GROUP BY media_id"
 _add("term_index", lambda s, d: search.term_index(_docs(s, d), _FIELDS).groupBy("field", "term").agg(F.count("*").alias("n")), _INDEX + "SELECT field, term, count(*) AS n FROM i GROUP BY field, term")
-_add("term_recall", lambda s, d: search.term_recall(search.term_index(_docs(s, d), _FIELDS), _WANTED), _INDEX + _RECALL)
-_add("term_and", lambda s, d: search.term_recall(search.term_index(_docs(s, d), _FIELDS), _WANTED).where("hits = 3").select("media_id"), _INDEX + f"SELECT media_id FROM ({_RECALL}) WHERE hits = 3")
+_add("term_recall", lambda s, d: search.term_recall(search.term_index(_docs(s, d), _FIELDS, _WANTED), _WANTED), _INDEX + _RECALL)
+_add("term_and", lambda s, d: search.term_recall(search.term_index(_docs(s, d), _FIELDS, _WANTED), _WANTED).where("hits = 3").select("media_id"), _INDEX + f"SELECT media_id FROM ({_RECALL}) WHERE hits = 3")
 _add("ocr_substring_recall", lambda s, d: _docs(s, d).where(F.lower("text").contains("thein")).select("media_id", F.lit(search.OCR_HIT).alias("score")), "SELECT doc_id AS media_id, 85 AS score FROM documents WHERE contains(lower(text), 'thein')")
 _BM25 = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a, regexp_extract_all(lower(source), '[\p{L}\p{N}]+') AS b FROM documents),
 r AS (SELECT doc_id, len(a) + len(b) AS d, 6.0 * len(list_filter(a, lambda x: x = 'then')) + 3.0 * len(list_filter(b, lambda x: x = 'then')) AS f0, 6.0 * len(list_filter(a, lambda x: x = 'ingen')) + 3.0 * len(list_filter(b, lambda x: x = 'ingen')) AS f1 FROM t),

@@ -1,5 +1,8 @@
 """Cases that the test tables don't have."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.functions import geo, vectors
@@ -53,3 +56,29 @@ def test_stream_of_jobs_once(spark, tmp_path):
     run.awaitTermination(120)
     assert {r["hash"] for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {"h1", "h2"}
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_star_groups_against_the_greedy_walk(spark):
+    rng = random.Random(5)
+    links = sorted({(1 + k % 2, *sorted(rng.sample(range(60), 2))) for k in range(150)})
+    want, used = set(), set()
+    for user in (1, 2):
+        for seed in range(60):
+            members = [b for u, a, b in links if (u, a) == (user, seed) and (user, b) not in used]
+            if (user, seed) not in used and members:
+                used |= {(user, seed), *((user, x) for x in members)}
+                want |= {(user, seed, x) for x in (seed, *members)}
+    pairs = spark.createDataFrame(links, "user_id bigint, a bigint, b bigint")
+    assert sorted(map(tuple, neighbours.star_groups(pairs).collect())) == sorted(want)
+    assert neighbours.star_groups(pairs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("distance", [5, 8, 20])
+def test_hamming_pairs_are_all_and_once(spark, distance, monkeypatch):
+    monkeypatch.setattr(neighbours.tiles, "__defaults__", (16,))  # many tiles
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(8)]
+    rows = [(k % 3, k, (base[k % 8] ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(12)))) - (1 << 63)) for k in range(120)]
+    got = neighbours.hamming_pairs(spark.createDataFrame(rows, "user_id bigint, id bigint, h bigint"), distance).collect()
+    want = [(u, a, b, n) for u, a, x in rows for v, b, y in rows if u == v and a < b and (n := ((x ^ y) & (1 << 64) - 1).bit_count()) <= distance]
+    assert sorted(map(tuple, got)) == sorted(want)
