@@ -50,3 +50,19 @@ def gcj_to_bd(lng: Column, lat: Column) -> tuple[Column, Column]:
     z = F.hypot(lng, lat) + 0.00002 * F.sin(lat * wave)
     theta = F.atan2(lat, lng) + 0.000003 * F.cos(lng * wave)
     return z * F.cos(theta) + 0.0065, z * F.sin(theta) + 0.006
+
+
+def bd_to_gcj(lng: Column, lat: Column) -> tuple[Column, Column]:
+    wave = math.pi * 3000 / 180
+    x, y = lng - 0.0065, lat - 0.006
+    z = F.hypot(x, y) - 0.00002 * F.sin(y * wave)
+    theta = F.atan2(y, x) - 0.000003 * F.cos(x * wave)
+    return z * F.cos(theta), z * F.sin(theta)
+
+
+def bd_to_wgs(lng: Column, lat: Column) -> tuple[Column, Column]:
+    return gcj_to_wgs(*bd_to_gcj(lng, lat))
+
+
+def wgs_to_bd(lng: Column, lat: Column) -> tuple[Column, Column]:
+    return gcj_to_bd(*wgs_to_gcj(lng, lat))

@@ -25,3 +25,14 @@ def hex_bits(h: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """64 if either is not a hash."""
     return F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(64))
+
+
+def hash_similarity(a: Column, b: Column) -> Column:
+    """1 for equal hashes, 0 for opposite ones or where either is none, to 4 places."""
+    return F.round(1 - hamming(a, b) / 64, 4)
+
+
+def normalised(v: Column) -> Column:
+    """At length 1; a null vector is divided by 1e-12."""
+    length = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1e-12))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.functions.media import SEASONS, place, tags
+from shutterlake.functions.media import SEASONS, oriented, place, tags
 
 _ALL, _ANY = (lambda x: reduce(Column.__and__, x, F.lit(True))), (lambda x: reduce(Column.__or__, x, F.lit(False)))
 _PEOPLE = {"0": (0, 0), "1": (1, 1), "2": (2, 2), "3+": (3, None)}
@@ -45,6 +45,7 @@ def compiled(filters: dict) -> Column:
         "faces": lambda v: (F.coalesce("face_count", F.lit(0)) > 0) == F.lit(bool(v)),
         "resolution": lambda v: _ANY(_resolution(x) for x in v),
         "duration": lambda v: _ANY(_span(F.col("duration_sec"), *_SECONDS[x], open_=True) for x in v),
+        "layout": lambda v: oriented()[1].isin(v),
         "since": lambda v: F.col("created_at") >= F.lit(v).cast("timestamp_ntz"),
         "favorite": lambda v: F.col("is_favorite") == int(v),
     }

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.functions.vectors import hamming
+from shutterlake.functions.vectors import hamming, hash_similarity, hex_bits
+from shutterlake.operators.rollups import numbered
 from shutterlake.sources.shared import kept
 
 
@@ -148,3 +149,97 @@ def overlaps(old: DataFrame, new: DataFrame) -> DataFrame:
     na, nb = a.groupBy("old").agg(F.count("*").alias("na")), b.groupBy("new").agg(F.count("*").alias("nb"))
     common = a.join(b, "face_id").groupBy("old", "new").agg(F.count("*").alias("common"))
     return common.join(na, "old").join(nb, "new").select("old", "new", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("iou"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(user_id, id, root) of all ids in ``links`` (user_id, a, b): root is the smallest id that links lead to.
+
+    Large and small stars in turn until no edge moves: each round is an aggregation and a join by id.
+    """
+    edges = kept(links.where("a <> b").select("user_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("user_id", "a", "b"))).first())
+    while (now := mark(edges)) != state:
+        state = now
+        both = edges.unionByName(edges.select("user_id", F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("user_id", "a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, ["user_id", "a"]).where("b > a").select("user_id", F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = kept(large)
+        least = large.groupBy("user_id", "a").agg(F.min("b").alias("m"))
+        small = large.join(least, ["user_id", "a"]).where("b <> m").select("user_id", F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = kept(small.unionByName(least.select("user_id", "a", F.col("m").alias("b"))).distinct())
+    members = edges.select("user_id", F.col("a").alias("id"), F.col("b").alias("root"))
+    return members.unionByName(members.select("user_id", F.col("root").alias("id"), "root").distinct())
+
+
+def clusters_merged(faces: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """(user_id, cluster_id, merged_id) of all clusters: chains of clusters that have faces at most ``threshold`` apart are one, with the
+    smallest of their ids."""
+    near = cluster_distances(faces).where(F.col("distance") <= threshold)
+    roots = components(near).select("user_id", F.col("id").alias("cluster_id"), "root")
+    own = faces.where("cluster_id IS NOT NULL").select("user_id", "cluster_id").distinct()
+    return own.join(roots, ["user_id", "cluster_id"], "left").select("user_id", "cluster_id", F.coalesce("root", "cluster_id").alias("merged_id"))
+
+
+def noise_apart(faces: DataFrame) -> DataFrame:
+    """``faces`` where each one of cluster -1 is a cluster of its own, numbered by face after the user's largest."""
+    last = faces.groupBy("user_id").agg(F.greatest(F.max("cluster_id"), F.lit(-1)).alias("__last"))
+    noise = numbered(faces.where("cluster_id = -1"), "user_id", "face_id").join(last, "user_id")
+    own = noise.withColumn("cluster_id", F.col("__last") + 1 + F.col("k")).select(*faces.columns)
+    return faces.where("cluster_id <> -1 OR cluster_id IS NULL").unionByName(own)
+
+
+def matched(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs`` (user_id, old, new, iou, ...) the greedy one-to-one choice: by falling iou, then old, then new.
+
+    In each round the pairs that are first both among those of their old and of their new one are chosen, and what they use goes.
+    """
+    order = F.struct((-F.col("iou")).alias("r"), "old", "new")
+    left, chosen = kept(pairs), None
+    while not left.isEmpty():
+        firsts = [left.groupBy("user_id", side).agg(F.min(order).alias(f"__{side}")) for side in ("old", "new")]
+        best = left.join(firsts[0], ["user_id", "old"]).join(firsts[1], ["user_id", "new"]).where((F.col("__old") == order) & (F.col("__new") == order))
+        best = kept(best.select(*pairs.columns))
+        chosen = best if chosen is None else chosen.unionByName(best)
+        for side in ("old", "new"):
+            left = left.join(best.select("user_id", side), ["user_id", side], "left_anti")
+        left = kept(left.select(*pairs.columns))
+    return left if chosen is None else chosen
+
+
+def names_carried(old: DataFrame, new: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(user_id, new, old, name): named clusters of ``old`` (user_id, cluster_id, face_id, name) and the clusters of ``new`` that take their
+    names: both share at least ``threshold`` of their faces, and each has one partner."""
+    names = old.groupBy("user_id", F.col("cluster_id").alias("old")).agg(F.max(F.expr("nullif(trim(name), '')")).alias("name"), F.count_distinct("face_id").alias("na")).where("name IS NOT NULL")
+    sizes = new.groupBy("user_id", F.col("cluster_id").alias("new")).agg(F.count_distinct("face_id").alias("nb"))
+    a, b = (df.select("user_id", F.col("cluster_id").alias(c), "face_id").distinct() for df, c in ((old, "old"), (new, "new")))
+    common = a.join(b, ["user_id", "face_id"]).groupBy("user_id", "old", "new").agg(F.count("*").alias("n"))
+    both = common.join(names, ["user_id", "old"]).join(sizes, ["user_id", "new"]).where((F.col("n") >= threshold * F.col("na")) & (F.col("n") >= threshold * F.col("nb")))
+    scored = both.select("user_id", "old", "new", "name", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou"))
+    return matched(scored).select("user_id", "new", "old", "name")
+
+
+def near_duplicates(media: DataFrame, score: Column, distance: int = 8) -> DataFrame:
+    """(user_id, group_id, id, rank_score, similarity, is_primary) of media whose 64-bit hashes (image_phash, hex) are near.
+
+    Seeds take all later rows at most ``distance`` bits away that no earlier seed took; rows with the same first 8 digits come
+    together, at the place of the first of them by id. Equal hashes count as one row until the end, so copies make no pairs. Of a
+    group the row with the best ``score``, then time, then id is primary; others are compared with it. group_id is the seed's id.
+    """
+    rows = media.withColumn("__h", hex_bits(F.trim("image_phash"))).where("__h IS NOT NULL")
+    rows = rows.select("user_id", "id", F.col("__h").alias("h"), score.alias("rank_score"), F.col("created_at").alias("at"))
+    hashes = rows.groupBy("user_id", "h").agg(F.min("id").alias("id"))
+    prefix = F.shiftrightunsigned(F.col("h"), 32)
+    first = hashes.groupBy("user_id", prefix.alias("p")).agg(F.min("id").alias("first"))
+    placed = kept(hashes.withColumn("p", prefix).join(first, ["user_id", "p"]).select("user_id", "id", "h", F.struct("first", "id").alias("place")))
+    links = hamming_pairs(placed.select("user_id", "id", "h"), distance)
+    for side in ("a", "b"):
+        links = links.join(placed.select("user_id", F.col("id").alias(side), F.col("place").alias("__" + side)), ["user_id", side])
+    stars = star_groups(links.select("user_id", F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b")))
+    seeds = stars.select("user_id", F.col("id.id").alias("id"), F.col("seed.id").alias("seed"))
+    classes = placed.join(seeds, ["user_id", "id"], "left").select("user_id", "h", F.coalesce("seed", "id").alias("group_id"))
+    members = kept(rows.join(classes, ["user_id", "h"]))
+    best = F.max(F.struct("rank_score", "at", "id", "h"))
+    groups = members.groupBy("user_id", "group_id").agg(best.alias("best"), F.count("*").alias("n")).where("n > 1")
+    own = members.join(groups, ["user_id", "group_id"])
+    return own.select("user_id", "group_id", "id", "rank_score", hash_similarity(F.col("h"), F.col("best.h")).alias("similarity"), (F.col("id") == F.col("best.id")).alias("is_primary"))

@@ -43,12 +43,16 @@ def displayable(edges: DataFrame, media: DataFrame, least: int = 2) -> DataFrame
 RUN = 1 << 16
 
 
+def numbered(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` with k, their place (from 0) among the rows of their ``key`` in the order of the number ``by``."""
+    cut = rows.withColumn("run", F.floor(F.col(by) / RUN))
+    counts = cut.groupBy(key, "run").agg(F.count("*").alias("c"))
+    before = Window.partitionBy(key).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(key, "run", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy(key, "run").orderBy(by)) - 1
+    return cut.withColumn("nth", nth).join(bases, [key, "run"]).select(*rows.columns, (F.col("base") + F.col("nth")).alias("k"))
+
+
 def numbered_names(files: DataFrame) -> DataFrame:
     """File names made distinct: the second of a name gets the suffix _1, and so on, by id."""
-    cut = files.withColumn("run", F.floor(F.col("id") / RUN))
-    counts = cut.groupBy("name", "run").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("name").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("name", "run", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("name", "run").orderBy("id")) - 1
-    numbered = cut.withColumn("nth", nth).join(bases, ["name", "run"]).withColumn("k", F.col("base") + F.col("nth"))
-    return numbered.select(*files.columns, F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), "k")).alias("unique_name"))
+    return numbered(files, "name", "id").select(*files.columns, F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), "k")).alias("unique_name"))

@@ -1,12 +1,15 @@
 """Cases that the test tables don't have."""
 
+import gzip
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.functions import geo, vectors
-from shutterlake.operators import neighbours, search, tables
+from shutterlake.operators import neighbours, places, search, tables
+from shutterlake.sources import geojson, metadata
 from shutterlake.streaming import ingest
 
 
@@ -82,3 +85,80 @@ def test_hamming_pairs_are_all_and_once(spark, distance, monkeypatch):
     got = neighbours.hamming_pairs(spark.createDataFrame(rows, "user_id bigint, id bigint, h bigint"), distance).collect()
     want = [(u, a, b, n) for u, a, x in rows for v, b, y in rows if u == v and a < b and (n := ((x ^ y) & (1 << 64) - 1).bit_count()) <= distance]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(8)
+    links = [(u, *rng.sample(range(80), 2)) for u in (1, 2) for _ in range(50)] + [(3, k, k + 1) for k in range(40)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, a, b in links:
+        x, y = sorted((find((u, a)), find((u, b))))
+        root[y] = x
+    got = neighbours.components(spark.createDataFrame(links, "user_id bigint, a bigint, b bigint"))
+    assert sorted(map(tuple, got.collect())) == sorted((*x, find(x)[1]) for x in root)
+    assert neighbours.components(got.selectExpr("user_id", "id AS a", "id AS b").limit(0)).count() == 0
+
+
+def test_matched_is_the_greedy_choice(spark):
+    rng = random.Random(9)
+    pairs = sorted({(1, rng.randrange(25), rng.randrange(25)) for _ in range(120)})
+    pairs = [(*p, rng.randrange(5) / 4) for p in pairs]
+    want, old, new = [], set(), set()
+    for u, a, b, iou in sorted(pairs, key=lambda p: (-p[3], p[1], p[2])):
+        if a not in old and b not in new:
+            want.append((u, a, b, iou))
+            old.add(a)
+            new.add(b)
+    got = neighbours.matched(spark.createDataFrame(pairs, "user_id bigint, old bigint, new bigint, iou double"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_near_duplicates_against_the_walk(spark):
+    rng = random.Random(10)
+    centres = [rng.getrandbits(64) for _ in range(4)]
+    rows = [(1, k, rng.choice(centres) ^ sum(1 << i for i in rng.sample(range(64), rng.choice([0, 0, 2, 4, 6])))) for k in range(90)]
+    first = {}
+    for _, k, h in rows:
+        first.setdefault(h >> 32, k)
+    order, used, want = sorted(rows, key=lambda r: (first[r[2] >> 32], r[1])), set(), set()
+    for _, seed, h in order:
+        if seed not in used:
+            members = [(k, x) for _, k, x in order if k not in used and (x ^ h).bit_count() <= 8]
+            used |= {k for k, _ in members}
+            top = max(members)  # equal scores and times: the larger id
+            want |= {(seed, k, math.floor((1 - (x ^ top[1]).bit_count() / 64) * 1e4 + 0.5) / 1e4, k == top[0]) for k, x in members if len(members) > 1}
+    df = spark.createDataFrame([(u, k, f" {h:016X}", "2020-01-01") for u, k, h in rows] + [(1, 500, "zz", None), (1, 501, None, None)], "user_id bigint, id bigint, image_phash string, created_at string")
+    got = neighbours.near_duplicates(df, F.lit(1.0)).select("group_id", "id", "similarity", "is_primary")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert neighbours.near_duplicates(df.limit(0), F.lit(1.0)).count() == 0
+
+
+def test_geojson_and_areas(spark, tmp_path):
+    box = lambda x, y, n: [[x, y], [x + n, y], [x + n, y + n], [x, y + n], [x, y]]
+    feature = lambda k, name, kind, c: {"properties": {"adcode": k, "name": name, "parent": {"adcode": 1}}, "geometry": {"type": kind, "coordinates": c}}
+    data = {"features": [feature(1, "p", "Polygon", [box(0, 0, 8), box(2, 2, 2)]), feature(2, "q", "MultiPolygon", [[box(20, 20, 1)], [box(30, -30, 2.5)]]), feature(3, "r", "Point", [1, 2])]}
+    with gzip.open(tmp_path / "areas.json.gz", "wt") as f:
+        json.dump(data, f)
+    found = geojson.shapes(spark, f"{tmp_path}/areas.json.gz", "city")
+    assert {(r["place_id"], r["parent_id"], len(r["rings"])) for r in found.collect()} == {(1, 1, 2), (2, 1, 2)}
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 3.0, 3.0), (3, 20.5, 20.5), (4, 32.0, -29.0), (5, 25.0, 0.0), (6, None, 1.0)], "id bigint, lng double, lat double")
+    got = {r["id"]: r["name"] for r in places.located(points, found).collect()}
+    assert got == {1: "p", 2: None, 3: "q", 4: "q", 5: None, 6: None}
+
+
+def test_metadata_bears_bad_json(spark):
+    df = spark.createDataFrame([("",), ("{",), (None,), ('{"streams": []}',), ('{"Orientation": "?", "DateTimeOriginal": "x"}',)], "j string")
+    assert {r["codec"] for r in df.select(*metadata.probed(F.col("j"))).collect()} == {None}
+    assert {r["captured_ms"] for r in df.select(*metadata.exif(F.col("j"))).collect()} == {None}
+
+
+def test_there_and_back_in_bd(spark):
+    df = spark.createDataFrame([(116.4, 39.9)], "lng double, lat double")
+    lng, lat = df.select(*geo.bd_to_wgs(*geo.wgs_to_bd(F.col("lng"), F.col("lat")))).first()
+    assert abs(lng - 116.4) < 1e-4 and abs(lat - 39.9) < 1e-4

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from shutterlake.plans.queries import QUERIES, SQL
+from shutterlake.plans.catalog import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
