@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import math
 import random
 
 import pytest
