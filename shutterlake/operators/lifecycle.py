@@ -66,3 +66,10 @@ def albums_found(albums: DataFrame, text: str = "", without: int | None = None,
         has = has | F.coalesce(F.contains(F.lower(c), F.lit(text.strip().lower())), F.lit(False))
     found = albums.where(has) if text.strip() else albums
     return found if without is None else found.where(F.col("id") != without)
+
+
+def names_taken(albums: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Wanted names (user_id, name, id: the album's own, or null) that another album of the user has."""
+    other = albums.select("user_id", "name", F.col("id").alias("__id"))
+    same = (wanted["user_id"] == other["user_id"]) & (wanted["name"] == other["name"]) & ~wanted["id"].eqNullSafe(other["__id"])
+    return wanted.join(other, same, "left_semi")

@@ -80,3 +80,9 @@ def position_scores(ranked: DataFrame, base: int = 28, least: int = 6) -> DataFr
     top = ranked.orderBy(*order).limit(base - least)
     top = top.select("media_id", (base + 1 - F.row_number().over(Window.orderBy(*order))).alias("high"))
     return ranked.join(F.broadcast(top), "media_id", "left").select("media_id", F.coalesce("high", F.lit(least)).alias("score"))
+
+
+def length_units(text: Column) -> Column:
+    """Chinese characters plus words of ASCII letters and digits; two or fewer make a short query."""
+    own = F.coalesce(text, F.lit(""))
+    return F.length(F.regexp_replace(own, "[^㐀-鿿]", "")) + F.size(F.regexp_extract_all(own, F.lit("[a-zA-Z0-9]+"), F.lit(0)))

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions import geo, media, times, vectors
-from shutterlake.operators import filters, lifecycle, neighbours, places
+from shutterlake.operators import filters, lifecycle, neighbours, people, places, search
 from shutterlake.plans.queries import _HAPPY, _LIVE, _POINTS, _VIEWS, Query, _live, _points
 from shutterlake.sources import metadata
 from shutterlake.sources.views import base, live, view
+from shutterlake.streaming import ingest
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +88,42 @@ _add("cluster_noise_apart", lambda s, d: neighbours.noise_apart(view(s, d, "face
      _VIEWS + ", n AS (SELECT user_id, face_id, CASE WHEN face_id % 10 = 3 THEN -1 ELSE cluster_id END AS c FROM faces) SELECT user_id, face_id, CAST(CASE WHEN c = -1 THEN max(c) OVER (PARTITION BY user_id) + row_number() OVER (PARTITION BY user_id, c ORDER BY face_id) ELSE c END AS BIGINT) AS cluster_id FROM n")
 
 
+# ---- changes of face clusters
+_people = lambda s, d: view(s, d, "faces").select("user_id", "cluster_id", "face_id", "representative_type", "is_user_assigned", "name")
+_PEOPLE = _VIEWS + ", p AS (SELECT user_id, cluster_id, face_id, representative_type, is_user_assigned, name FROM faces)"
+_shown = lambda df: df.select("user_id", "cluster_id", "face_id", "representative_type", F.coalesce("is_user_assigned", F.lit(False)).alias("by_hand"), F.coalesce("name", F.lit("")).alias("name"))
+_SHOWN = "representative_type, is_user_assigned AS by_hand, coalesce(name, '') AS name"
+_add("cluster_insert", lambda s, d: _shown(people.inserted(p := _people(s, d), p.where("face_id % 4 < 2").select("user_id", F.lit(77).cast("bigint").alias("cluster_id"), (F.col("face_id") + F.col("face_id") % 4 * 1_000_000).alias("face_id")), p)),
+     # faces with remainder 1 get ids that no face has
+     _PEOPLE + f" SELECT user_id, cluster_id, face_id, {_SHOWN} FROM p WHERE face_id % 4 > 0 OR is_user_assigned UNION ALL SELECT user_id, 77, face_id, 0, false, '' FROM p WHERE face_id % 4 = 0")
+_add("cluster_insert_all", lambda s, d: _shown(people.inserted(p := _people(s, d), p.where("face_id % 4 = 0 AND user_id < 3").select("user_id", F.lit(77).cast("bigint").alias("cluster_id"), "face_id"), p, replace_auto=True)),
+     _PEOPLE + f" SELECT user_id, cluster_id, face_id, {_SHOWN} FROM p WHERE is_user_assigned OR user_id > 2 UNION ALL SELECT user_id, 77, face_id, 0, false, '' FROM p WHERE face_id % 4 = 0 AND user_id < 3")
+_add("cluster_move", lambda s, d: _shown(people.moved(p := _people(s, d), p.where("face_id % 9 = 0").select("user_id", F.col("cluster_id").alias("source"), "face_id", F.when(F.col("user_id") < 3, 2).cast("bigint").alias("target"), F.when(F.col("user_id") == 3, "New").alias("name")))),
+     _PEOPLE + """, m AS (SELECT user_id, max(cluster_id) AS last FROM p GROUP BY user_id), q AS (SELECT p.*, last, face_id % 9 = 0 AS gone, CASE WHEN face_id % 9 = 0 THEN CASE WHEN user_id < 3 THEN 2 ELSE last + 1 END ELSE cluster_id END AS c FROM p JOIN m USING (user_id)),
+t AS (SELECT DISTINCT user_id, c FROM q WHERE gone), n AS (SELECT user_id, cluster_id AS c, max(name) AS name FROM q WHERE NOT gone GROUP BY 1, 2)
+SELECT q.user_id, q.c AS cluster_id, face_id, CASE WHEN gone THEN 0 ELSE representative_type END AS representative_type, t.c IS NOT NULL OR is_user_assigned AS by_hand, CASE WHEN t.c IS NULL THEN coalesce(q.name, '') ELSE coalesce(CASE WHEN q.user_id = 3 THEN 'New' END, n.name, '') END AS name
+FROM q LEFT JOIN t ON t.user_id = q.user_id AND t.c = q.c LEFT JOIN n ON n.user_id = q.user_id AND n.c = q.c""")
+_add("cluster_rename", lambda s, d: _shown(people.renamed(p := _people(s, d), p.where("cluster_id % 3 < 2").select("user_id", "cluster_id", F.when(F.col("cluster_id") % 3 == 0, F.concat(F.lit("N"), "cluster_id")).otherwise(" ").alias("name")))),
+     _PEOPLE + " SELECT user_id, cluster_id, face_id, representative_type, is_user_assigned AS by_hand, CASE cluster_id % 3 WHEN 0 THEN 'N' || cluster_id WHEN 1 THEN '' ELSE coalesce(name, '') END AS name FROM p")
+_add("cluster_cover_set", lambda s, d: _shown(people.covered(p := _people(s, d), p.where("face_id % 5 = user_id AND cluster_id % 2 = 0 AND face_id % 3 = 1"))),
+     _PEOPLE + ", k AS (SELECT user_id, cluster_id, max(face_id) AS pick FROM p WHERE cluster_id % 2 = 0 AND face_id % 5 = user_id AND face_id % 3 = 1 GROUP BY 1, 2) SELECT user_id, cluster_id, face_id, CASE WHEN pick IS NULL THEN representative_type WHEN face_id = pick THEN CASE representative_type WHEN 1 THEN 1 ELSE 2 END WHEN representative_type = 2 THEN 0 ELSE representative_type END AS representative_type, is_user_assigned AS by_hand, coalesce(name, '') AS name FROM p LEFT JOIN k USING (user_id, cluster_id)")
+_add("cluster_cover_restore", lambda s, d: _shown(people.default_restored(p := _people(s, d), p.where("cluster_id % 2 = 1"))),
+     _PEOPLE + ", k AS (SELECT user_id, cluster_id, max(face_id) AS pick FROM p WHERE cluster_id % 2 = 1 GROUP BY 1, 2) SELECT user_id, cluster_id, face_id, CASE WHEN pick IS NULL THEN representative_type WHEN face_id = pick THEN 1 ELSE 0 END AS representative_type, is_user_assigned AS by_hand, coalesce(name, '') AS name FROM p LEFT JOIN k USING (user_id, cluster_id)")
+_add("face_quality", lambda s, d: people.best_quality(view(s, d, "faces").select("media_id", F.element_at(F.array(*map(F.lit, ("Happy ", "sad", "angry"))), (F.col("face_id") % 3 + 1).cast("int")).alias("expression"), (F.col("face_id") * 17 % 101 / 100.0).alias("quality")).where("media_id % 4 > 0 OR expression = 'sad'")),
+     _VIEWS + ", q AS (SELECT media_id, face_id % 3 AS e, face_id * 17 % 101 / 100.0 AS q FROM faces WHERE media_id % 4 > 0 OR face_id % 3 = 1) SELECT media_id, CAST(coalesce(max(q) FILTER (e = 0), max(q)) AS DOUBLE) AS preferred_face_quality FROM q GROUP BY media_id")
+
+# ---- uploads, progress, places, names
+_HASHED = _LIVE + ", k AS (SELECT user_id, id % 500 AS hash, bool_and(deleted_at IS NOT NULL) AS gone, min(id) FILTER (deleted_at IS NULL) AS a, min(id) AS b FROM media GROUP BY 1, 2), u AS (SELECT event_id, user_id % 5 AS user_id, event_id % 650 AS hash FROM events)"
+_add("upload_routes", lambda s, d: ingest.routed(base(s, d, "events").select("event_id", (F.col("user_id") % 5).cast("bigint").alias("user_id"), (F.col("event_id") % 650).alias("hash")), _media(s, d).select("id", "user_id", (F.col("id") % 500).alias("hash"), "deleted_at")).select("event_id", "route", F.coalesce("media_id", F.lit(-1)).alias("media_id")),
+     _HASHED + " SELECT event_id, CASE WHEN gone IS NULL THEN 'new' WHEN gone THEN 'restore' ELSE 'duplicate' END AS route, coalesce(a, b, -1) AS media_id FROM u LEFT JOIN k USING (user_id, hash)")
+_add("upload_progress_once", lambda s, d: ingest.progress_once(base(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), "event_type", (F.col("event_id") % 3).alias("item")), "item", "ts"),
+     "WITH e AS (SELECT DISTINCT user_id, event_type, event_id % 3 FROM events), c AS (SELECT user_id AS session_id, count(*) FILTER (event_type = 'signup') AS uploaded, count(*) FILTER (event_type = 'view') AS ingest_done, count(*) FILTER (event_type = 'error') AS ingest_error, count(*) FILTER (event_type = 'click') AS ai_eligible, count(*) FILTER (event_type = 'purchase') AS ai_done FROM e GROUP BY 1) SELECT *, CASE WHEN uploaded = 0 THEN 'uploading' WHEN ingest_done + ingest_error < uploaded THEN 'mediaProcessing' WHEN ai_done < ai_eligible THEN 'aiAnalyzing' ELSE 'completed' END AS phase FROM c")
+_add("geocode_guarded", lambda s, d: ingest.geocoded(m := _media(s, d).withColumn("map_regeo_status", F.element_at(F.array(*map(F.lit, ("success", "failed", "skipped"))), (F.col("id") % 3 + 1).cast("int"))), m.where("id % 4 > 0").select("id", F.lit("C").alias("country"), F.lit("P").alias("province"), F.lit(None).cast("string").alias("city"), F.lit("success").alias("status"))).select("id", F.coalesce(media.place(), F.lit("")).alias("place"), F.col("map_regeo_status").alias("status")),
+     _LIVE + "SELECT id, CASE WHEN id % 3 > 0 AND id % 4 > 0 THEN 'P' ELSE coalesce(nullif(trim(city), ''), nullif(trim(province), ''), '') END AS place, CASE WHEN id % 4 > 0 OR id % 3 = 0 THEN 'success' WHEN id % 3 = 1 THEN 'failed' ELSE 'skipped' END AS status FROM media")
+_add("album_names_taken", lambda s, d: lifecycle.names_taken(a := view(s, d, "albums").select("id", "user_id", "name"), a.select("user_id", "name", F.when(F.col("id") % 2 == 0, F.col("id")).alias("id"))).select("user_id", "name"), _VIEWS + "SELECT user_id, name FROM albums WHERE id % 2 = 1")
+_add("query_length_units", lambda s, d: base(s, d, "documents").select("doc_id", search.length_units(F.col("text")).cast("bigint").alias("units")), "SELECT doc_id, CAST(length(regexp_replace(text, '[^㐀-鿿]', '', 'g')) + len(regexp_extract_all(text, '[a-zA-Z0-9]+')) AS BIGINT) AS units FROM documents")
+
+
 def _normalised(s: SparkSession, d: str) -> DataFrame:
     return base(s, d, "embeddings").select("vec_id", F.round(F.aggregate(vectors.normalised(F.col("embedding")), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 

@@ -29,3 +29,29 @@ def progress(events: DataFrame) -> DataFrame:
     ai = F.col("ai_done") >= F.col("ai_eligible")
     phase = F.when(F.col("uploaded") == 0, "uploading").when(~media, "mediaProcessing").when(~ai, "aiAnalyzing").otherwise("completed")
     return counts.withColumn("phase", phase)
+
+
+def routed(uploads: DataFrame, media: DataFrame) -> DataFrame:
+    """``uploads`` (user_id, hash, ...) with route and media_id against the table ``media`` (id, user_id, hash, deleted_at): "duplicate" of a
+    live item, "restore" of one in the trash, else "new". Of several items with one hash a live one counts, then the smallest id.
+
+    On a stream the table is read anew in each micro-batch, so it also holds what was there before the stream's own state began.
+    """
+    known = media.groupBy("user_id", "hash").agg(F.min(F.struct(F.col("deleted_at").isNotNull().alias("gone"), F.col("id").alias("media_id"))).alias("__known"))
+    met = uploads.join(known, ["user_id", "hash"], "left")
+    route = F.when(F.col("__known").isNull(), "new").when(F.col("__known.gone"), "restore").otherwise("duplicate")
+    return met.select(*uploads.columns, route.alias("route"), F.col("__known.media_id").alias("media_id"))
+
+
+def progress_once(events: DataFrame, key: str, time: str) -> DataFrame:
+    """``progress`` where each (session, event type, ``key``) counts once, however often it is told."""
+    return progress(once(events, ["session_id", "event_type", key], time))
+
+
+def geocoded(media: DataFrame, found: DataFrame) -> DataFrame:
+    """``media`` with places of ``found`` (id, country, province, city, status), where they were skipped or failed before; other rows keep
+    what they have."""
+    fit = media.where(F.col("map_regeo_status").isin("skipped", "failed")).select("id").join(found.groupBy("id").agg(F.max(F.struct("status", "country", "province", "city")).alias("__f")), "id")
+    new = {"country": "country", "province": "province", "city": "city", "map_regeo_status": "status"}
+    joined = media.join(fit, "id", "left")
+    return joined.select(*(F.when(F.col("__f").isNull(), F.col(c)).otherwise(F.col(f"__f.{new[c]}")).alias(c) if c in new else c for c in media.columns))

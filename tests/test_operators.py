@@ -163,3 +163,17 @@ def test_there_and_back_in_bd(spark):
     df = spark.createDataFrame([(116.4, 39.9)], "lng double, lat double")
     lng, lat = df.select(*geo.bd_to_wgs(*geo.wgs_to_bd(F.col("lng"), F.col("lat")))).first()
     assert abs(lng - 116.4) < 1e-4 and abs(lat - 39.9) < 1e-4
+
+
+def test_length_units(spark):
+    df = spark.createDataFrame([("小狗 cat 2024x",), (None,), ("  ",)], "t string")
+    assert [r[0] for r in df.select(search.length_units(F.col("t"))).collect()] == [4, 0, 0]
+
+
+def test_uploads_are_routed_on_a_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, None)], "user_id bigint, hash string").write.parquet(f"{tmp_path}/in")
+    media = spark.createDataFrame([(7, 1, "a", None), (8, 1, "b", 5), (9, 1, "a", 5)], "id bigint, user_id bigint, hash string, deleted_at bigint")
+    stream = spark.readStream.schema("user_id bigint, hash string").parquet(f"{tmp_path}/in")
+    run = ingest.routed(stream, media).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert {(r["hash"], r["route"], r["media_id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", "duplicate", 7), ("b", "restore", 8), ("c", "new", None), (None, "new", None)}
