@@ -8,7 +8,8 @@ rows, the window and the rendering.
 
 Defined results: turns are ordered by (turn, role, text) with nulls first; a null role or text counts as empty; rows repeated
 exactly count once; rows without conv_id are one conversation of that (null) id; an empty table gives no rows; extra columns
-are not read. A row of the result holds one conversation, so the longest one must fit a row.
+are not read; markers that a role or text holds itself stay as they are, so who trains on the result must not take them for
+turns. A row of the result holds one conversation, so the longest one must fit a row.
 """
 
 from __future__ import annotations

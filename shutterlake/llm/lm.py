@@ -148,12 +148,10 @@ def _dealt(keys: list[np.ndarray], kind: int, buckets: int) -> Iterator[dict]:
     distinct, n = np.unique(np.concatenate(keys), return_counts=True)
     bucket = bucket_of(distinct, buckets)
     order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        own = order[cuts[k] : cuts[k + 1]]
-        if len(own):
-            raw = distinct[own].view(np.uint8).reshape(-1, 8)
-            yield {"bucket": k + kind * buckets, "keys": (raw if kind == _WORD else raw[:, :6]).tobytes(), "counts": n[own].astype("<u4").tobytes()}
+    met, cuts = np.unique(bucket[order], return_index=True)  # only buckets that have keys here, however many there are
+    for k, own in zip(met.tolist(), np.split(order, cuts[1:]), strict=False):
+        raw = distinct[own].view(np.uint8).reshape(-1, 8)
+        yield {"bucket": k + kind * buckets, "keys": (raw if kind == _WORD else raw[:, :6]).tobytes(), "counts": n[own].astype("<u4").tobytes()}
 
 
 _DEALT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
