@@ -38,6 +38,8 @@ ELEMENTS, SKETCHES = 3, 14
 THRESHOLD = 0.8
 #: Buckets of more texts than FEW are looked at in blocks of BLOCK texts, by COLUMNS labels at a time.
 FEW, BLOCK, COLUMNS = 32, 512, 4096
+#: Keys of more than HOT rows are split in joins; in large tables of more rows, so that there are at most MOST_HOT of them.
+HOT, MOST_HOT = 1_000, 100_000
 _U = np.uint64
 _SEEDS, _ODD = seeds(SKETCHES, 5), seeds(SKETCHES, 6) | _U(1)
 
@@ -172,8 +174,27 @@ def packed_words(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInArrow(task, "id bigint, w binary")
 
 
+def hot_keys(sizes: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """(keys, __parts) of the keys that ``sizes`` (keys, size) of a table of ``total`` rows shows to be hot: MOST_HOT at most."""
+    limit = max(HOT, -(-total // MOST_HOT))
+    return sizes.where(F.col("size") > limit).select(*keys, F.ceil(F.col("size") / limit).cast("int").alias("__parts"))
+
+
+def salted(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """The join of ``left`` with ``right``, one row a key, where rows of a ``hot`` key go to as many tasks as it has parts.
+
+    The right rows of hot keys are copied once a part, which adds fewer rows than left has / HOT * 2. ``hot`` is broadcast. The part
+    hangs on a left row's first other column and its place among the tasks, so that repeated rows are split too.
+    """
+    other = next(c for c in left.columns if c not in keys)
+    part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other, F.spark_partition_id()), "__parts")).cast("int")
+    spread = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    many, once = (df.join(F.broadcast(hot), keys, "left").withColumn("__part", c).drop("__parts") for df, c in ((left, part), (right, spread)))
+    return many.join(once, [*keys, "__part"]).drop("__part")
+
+
 def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """``pairs`` (x, y) of text ids with ``linked``."""
+    """``pairs`` (x, y) of text ids, written ones, with ``linked``. A leader's pairs are split over tasks, as its text is in all."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, labels = None, None
@@ -186,7 +207,9 @@ def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
                 out.append(similarity(_labels(a), labels) >= THRESHOLD)
             yield pa.RecordBatch.from_pydict({"x": batch.column("x"), "y": batch.column("y"), "linked": pa.array(out, pa.bool_())})
 
-    both = pairs.join(words.select(F.col("id").alias("x"), F.col("w").alias("wx")), "x").join(words.select(F.col("id").alias("y"), F.col("w").alias("wy")), "y")
+    sides = [words.select(F.col("id").alias(c), F.col("w").alias("w" + c)) for c in "xy"]
+    hot = hot_keys(pairs.groupBy("y").agg(F.count("*").alias("size")), ["y"], pairs.count())
+    both = salted(pairs.join(sides[0], "x"), sides[1], ["y"], hot)  # an x has a pair a bucket, or FEW of them
     return both.select("x", "y", "wx", "wy").mapInArrow(task, "x bigint, y bigint, linked boolean")
 
 
@@ -194,16 +217,22 @@ def components(links: DataFrame) -> DataFrame:
     """(key, c): the smallest key that a key is connected with by ``links`` (x, y); keys without links are not in it.
 
     Each step hangs all neighbours of a key, and itself, on the smallest among them, by turns for larger and for smaller
-    neighbours, until nothing changes (Kiveris et al., 2014); groups meet as partial minima only.
+    neighbours, until nothing changes (Kiveris et al., 2014); groups meet as partial minima only, and their edges in parts.
     """
+
+    def hung(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+        """(u, v): what ``rows`` (u, v) have as v, hung on the least of u."""
+        hot = hot_keys(rows.groupBy("u").agg(F.count("*").alias("size")), ["u"], total)
+        return salted(rows, low, ["u"], hot).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
     edges = written(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u != v").distinct())
     while True:
         before = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(hung(both.where("v > u"), low, before[0]))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v")).where("u != v")
+        small = hung(large, low, before[0]).unionByName(low.withColumnRenamed("m", "v")).where("u != v")
         edges = written(small.distinct())
         if edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() == before:
             return edges.select(F.col("u").alias("key"), F.col("v").alias("c"))
@@ -218,23 +247,23 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def linked_texts(members: DataFrame, words: DataFrame) -> DataFrame:
-    """Pairs (x, y) of texts in crowded buckets (id, n, bucket) that connect every class, by links that were verified."""
+def linked_texts(members: DataFrame, hot: DataFrame, words: DataFrame) -> DataFrame:
+    """Pairs (x, y) of texts in crowded buckets (id, n, bucket), some ``hot``, that connect every class, by links that were verified."""
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
 
     def test(pairs: DataFrame) -> None:
         if tested:
             pairs = pairs.join(_all(tested).select("x", "y"), ["x", "y"], "left_anti")
-        tested.append(written(compared(pairs, words)))
+        tested.append(written(compared(written(pairs), words)))
         links.append(tested[-1].where("linked").select("x", "y"))
 
     lead = members.groupBy("bucket").agg(F.min("id").alias("y"))
-    test(members.join(lead, "bucket").where("id != y").select(F.col("id").alias("x"), "y").distinct())
+    test(salted(members, lead, ["bucket"], hot).where("id != y").select(F.col("id").alias("x"), "y").distinct())
     first = components(links[0])
     now = _classed(members, first)
     open_ = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low != high").select("bucket", "size")
-    now = written(now.join(open_, "bucket"))
+    now = written(salted(now, open_, ["bucket"], hot))
     few = now.where(F.col("size") <= FEW)
     x, y = (few.select("bucket", *(F.col(c).alias(c + side) for c in ("id", "n", "c"))) for side in "xy")
     fits = (F.col("nx") >= F.lit(THRESHOLD) * F.col("ny")) & (F.col("ny") >= F.lit(THRESHOLD) * F.col("nx"))
@@ -307,20 +336,24 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = rows.groupBy(*KEYS[:2]).agg(F.min("doc_id").alias("least"), F.min(KEYS[2]).alias(KEYS[2]), F.count("*").alias("copies"), F.min("n").alias("n"), F.min("buckets").alias("buckets"))
     texts = written(texts.withColumn("id", F.monotonically_increasing_id()))
     members = texts.where("n > 0").select("id", "n", F.explode("buckets").alias("bucket"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members = written(members.join(crowded, "bucket"))
+    crowded = written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    hot = hot_keys(crowded, ["bucket"], crowded.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    members = written(salted(members, crowded.select("bucket"), ["bucket"], hot))
     wanted = texts.select("id", *KEYS).join(members.select("id").distinct(), "id")
     words = written(packed_words(keyed(docs.select("doc_id", "text")).join(wanted, KEYS).dropDuplicates(["id"])))
-    joined = components(linked_texts(members, words)).withColumnRenamed("key", "id")
+    joined = components(linked_texts(members, hot, words)).withColumnRenamed("key", "id")
     return rows, texts.select(*KEYS[:2], "id", "copies", "least").join(joined, "id", "left").withColumn("c", F.coalesce("c", "id"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id, copies) of each row: copies is the number of rows with the same text."""
     rows, texts = classified(docs)
+    texts, total = written(texts), rows.count()
     named = texts.groupBy("c").agg(F.min("least").alias("class_id"))
-    named = texts.join(named, "c").select(*KEYS[:2], "class_id", "copies")
-    return rows.select("doc_id", *KEYS[:2]).join(named, KEYS[:2]).select("doc_id", "class_id", "copies")
+    large = hot_keys(texts.groupBy("c").agg(F.count("*").alias("size")), ["c"], total)
+    named = salted(texts.select("c", *KEYS[:2], "copies"), named, ["c"], large).select(*KEYS[:2], "class_id", "copies")
+    often = hot_keys(texts.groupBy(*KEYS[:2]).agg(F.sum("copies").alias("size")), KEYS[:2], total)
+    return salted(rows.select(*KEYS[:2], "doc_id"), named, KEYS[:2], often).select("doc_id", "class_id", "copies")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -84,8 +84,9 @@ def brute_classes(texts):
 
 @pytest.mark.parametrize("few", [32, 2])
 def test_order_minhash_classes(spark, few, monkeypatch):
-    """few = 2 sends all crowded buckets through the blocks."""
+    """few = 2 sends all crowded buckets through the blocks, and splits keys of more than 3 rows in joins."""
     monkeypatch.setattr(order_minhash, "FEW", few)
+    monkeypatch.setattr(order_minhash, "HOT", 3 if few == 2 else order_minhash.HOT)
     monkeypatch.setattr(order_minhash, "BLOCK", 16)
     rng = random.Random(4)
     base, passage = text(90), text(60)
@@ -94,6 +95,17 @@ def test_order_minhash_classes(spark, few, monkeypatch):
     assert got == brute_classes(texts)
 
 
+def test_salted_is_the_join(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "HOT", 10)
+    left = spark.createDataFrame([(7, i % 3) for i in range(95)] + [(8, i) for i in range(10)] + [(9, 0), (None, 5)], "k bigint, v bigint").repartition(3)
+    right = spark.createDataFrame([(7, "a"), (8, "b"), (10, "c"), (None, "d")], "k bigint, w string")
+    hot = order_minhash.hot_keys(left.groupBy("k").agg(F.count("*").alias("size")), ["k"], left.count())
+    assert [tuple(r) for r in hot.collect()] == [(7, 10)]
+    got = order_minhash.salted(left, right, ["k"], hot)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+    assert order_minhash.salted(left.limit(0), right, ["k"], hot).count() == 0
+
+
 def test_order_is_seen(spark):
     a, b = text(60), text(60)
     got = {r["class_id"] for r in order_minhash.classes(table(spark, [f"{a} {b}", f"{b} {a}"])).collect()}
