@@ -79,3 +79,40 @@ def best_quality(faces: DataFrame) -> DataFrame:
     """(media_id, preferred_face_quality): the best of happy or neutral faces, else of all; null if no face has one."""
     liked = F.lower(F.trim("expression")).isin("happy", "neutral")
     return faces.groupBy("media_id").agg(F.coalesce(F.max(F.when(liked, F.col("quality"))), F.max("quality")).alias("preferred_face_quality"))
+
+
+#: Steps within which quality, pose, size in pixels and sharpness count as equal; what expressions are worth.
+QUALITY_STEP, POSE_STEP, AREA_STEP, SHARPNESS_STEP = 0.05, 0.05, 1000, 0.05
+EXPRESSIONS = {"happy": 2, "neutral": 1}
+
+
+def cover_rank() -> Column:
+    """A struct that is largest for the best face of a cluster, from the columns media_type, expression, quality_score, yaw, pitch, bbox
+    (left, top, right, bottom), sharpness_score and created_at.
+
+    No video; then expression, quality, pose, size and sharpness in whole steps, so that it is an order (a tolerance between each two
+    faces is none); then the latest media, then the smallest face_id. Nulls count as 0, and so does a box that is not of four numbers.
+    """
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    step = lambda c, size: F.floor(c / F.lit(float(size)))
+    liked = F.coalesce(F.create_map(*(F.lit(x) for kv in EXPRESSIONS.items() for x in kv))[F.col("expression")], F.lit(0))
+    pose = F.greatest(F.lit(0.0), 1 - (F.abs(zero("yaw")) / 90 + F.abs(zero("pitch")) / 90) / 2)
+    side = lambda a, b: F.col("bbox")[b] - F.col("bbox")[a]
+    area = F.coalesce(F.when(F.size("bbox") == 4, side(0, 2) * side(1, 3)), F.lit(0.0)).cast("double")
+    return F.struct(
+        F.when(F.col("media_type") == "video", 0).otherwise(1).alias("still"), liked.alias("liked"), step(zero("quality_score"), QUALITY_STEP).alias("quality"),
+        step(pose, POSE_STEP).alias("pose"), step(area, AREA_STEP).alias("area"), step(zero("sharpness_score"), SHARPNESS_STEP).alias("sharpness"), "created_at", (-F.col("face_id")).alias("id"))
+
+
+def default_covers(faces: DataFrame) -> DataFrame:
+    """(user_id, cluster_id, face_id): each cluster's best face by ``cover_rank``, of those that are no cover by hand if there are any."""
+    best = F.max(F.struct((~F.coalesce(F.col("representative_type") == 2, F.lit(False))).alias("free"), cover_rank().alias("rank")))
+    return faces.groupBy(*KEYS).agg(best.alias("best")).select(*KEYS, (-F.col("best.rank.id")).alias("face_id"))
+
+
+def defaults_ensured(rows: DataFrame, faces: DataFrame) -> DataFrame:
+    """``rows`` where each cluster without a default cover has the one of ``default_covers`` (faces with the ranked columns)."""
+    missing = rows.groupBy(*KEYS).agg(F.max((F.col("representative_type") == 1).cast("int")).alias("has")).where("coalesce(has, 0) = 0").select(*KEYS)
+    pick = default_covers(faces).join(missing, KEYS).select(*KEYS, "face_id", F.lit(1).alias("__default"))
+    kind = F.coalesce("__default", "representative_type").cast(rows.schema["representative_type"].dataType)
+    return rows.join(pick, [*KEYS, "face_id"], "left").select(*(kind.alias(c) if c == "representative_type" else c for c in rows.columns))

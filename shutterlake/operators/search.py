@@ -86,3 +86,42 @@ def length_units(text: Column) -> Column:
     """Chinese characters plus words of ASCII letters and digits; two or fewer make a short query."""
     own = F.coalesce(text, F.lit(""))
     return F.length(F.regexp_replace(own, "[^㐀-鿿]", "")) + F.size(F.regexp_extract_all(own, F.lit("[a-zA-Z0-9]+"), F.lit(0)))
+
+
+def synonym_tokens(seeds: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(seed, token): each seed, its ``synonyms`` (key, value) as a key, and for each key that it is a value of, that key and its values.
+
+    Joins by word, so seeds of many queries are expanded at once; blank words are passed over.
+    """
+    own = seeds.select(F.trim("seed").alias("seed")).where("seed <> ''").distinct()
+    pairs = synonyms.select(F.trim("key").alias("key"), F.trim("value").alias("value")).where("key <> '' AND value <> ''").distinct()
+    keys = own.join(pairs.withColumnRenamed("value", "seed"), "seed").select("seed", "key")
+    values = own.withColumn("key", F.col("seed")).unionByName(keys).join(pairs, "key").select("seed", F.col("value").alias("token"))
+    parts = [own.select("seed", F.col("seed").alias("token")), keys.select("seed", F.col("key").alias("token")), values]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def groups_needed(groups: int) -> int:
+    """How many of a query's word groups a text must meet."""
+    return 0 if groups <= 0 else 1 if groups <= 2 else min(groups - 1, 3)
+
+
+def passes_gate(text: Column, groups: list[list[str]], actions: list[str] | None = None, least: int = 1) -> Column:
+    """Whether ``text`` has, as substrings in lower case, ``least`` words of the ``groups``, words of as many groups as ``groups_needed``,
+    and, where groups have words of ``actions``, a word of one of those. Without words nothing passes; a null text is empty."""
+    own = [sorted({w.lower() for w in g if w}) for g in groups]
+    words = sorted({w for g in own for w in g})
+    if not words:
+        return F.lit(False)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    has = lambda ws: reduce(Column.__or__, (F.contains(low, F.lit(w)) for w in ws), F.lit(False))
+    total = lambda cs: reduce(Column.__add__, (c.cast("int") for c in cs))
+    doing = [g for g in own if set(g) & {a.lower() for a in actions or []}]
+    out = (total(has([w]) for w in words) >= max(least, 1)) & (total(map(has, own)) >= groups_needed(len(own)))
+    return out & has([w for g in doing for w in g]) if doing else out
+
+
+def gated(hits: DataFrame, found: DataFrame, docs: DataFrame, passes: Column) -> DataFrame:
+    """Of vector ``hits`` (media_id, ...) those that full-text search ``found`` (media_id) as well, or whose text in ``docs`` ``passes``."""
+    sure = found.select("media_id").unionByName(docs.where(passes).select("media_id")).distinct()
+    return hits.join(sure, "media_id", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions import geo, media, times, vectors
-from shutterlake.operators import filters, lifecycle, neighbours, people, places, search
+from shutterlake.operators import density, filters, lifecycle, neighbours, people, places, search
 from shutterlake.plans.queries import _HAPPY, _LIVE, _POINTS, _VIEWS, Query, _live, _points
 from shutterlake.sources import metadata
 from shutterlake.sources.views import base, live, view
@@ -196,3 +196,44 @@ def _exif(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("image_exif", _exif, _LIVE + "SELECT id, width_px AS width, height_px AS height, 12.5 AS latitude, raw_orientation AS orientation, epoch_ms(created_at) AS captured_ms FROM media")
+
+
+# ---- density clusters, covers by rank, synonyms, the gate of vector hits
+_EPS, _LEAST = 0.62, 3
+_add("face_density_clusters", lambda s, d: density.density_clusters(view(s, d, "faces"), _EPS, _LEAST),
+     _VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", e AS MATERIALIZED (SELECT f.user_id, f.face_id AS a, g.face_id AS b FROM faces f JOIN faces g ON f.user_id = g.user_id AND 1 - list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])) <= {_EPS}),
+c AS MATERIALIZED (SELECT user_id, a AS id FROM e GROUP BY 1, 2 HAVING count(*) >= {_LEAST}),
+l AS MATERIALIZED (SELECT e.* FROM e JOIN c x ON x.id = e.a JOIN c y ON y.id = e.b),
+r AS (SELECT user_id, id AS a, id AS b FROM c UNION SELECT r.user_id, r.a, l.b FROM r JOIN l ON r.b = l.a),
+t AS (SELECT user_id, a AS id, min(b) AS root FROM r GROUP BY 1, 2),
+u AS (SELECT user_id, id, root FROM t UNION ALL SELECT e.user_id, e.b, min(t.root) FROM e JOIN t ON t.id = e.a WHERE e.b NOT IN (SELECT id FROM c) GROUP BY 1, 2),
+n AS (SELECT user_id, root, row_number() OVER (PARTITION BY user_id ORDER BY root) - 1 AS k FROM (SELECT DISTINCT user_id, root FROM t))
+SELECT f.user_id, f.face_id, coalesce(n.k, -1) AS cluster_id FROM faces f LEFT JOIN u ON u.id = f.face_id LEFT JOIN n ON n.user_id = u.user_id AND n.root = u.root""")
+
+
+def _posed(s: SparkSession, d: str) -> DataFrame:
+    """Faces with what their covers are ranked by, made up from their ids."""
+    k, n = F.col("face_id"), lambda c: c.cast("double")
+    return view(s, d, "faces").select(
+        "user_id", "cluster_id", "face_id", "representative_type", "is_user_assigned", "name", F.when(k % 9 == 0, "video").otherwise("image").alias("media_type"),
+        F.element_at(F.array(F.lit("happy"), F.lit("neutral"), F.lit("sad"), F.lit(None)), (k % 4 + 1).cast("int")).alias("expression"), (n(k * 7 % 10) / 10).alias("quality_score"),
+        F.when(k % 5 > 0, n(k * 11 % 120)).alias("yaw"), n(-(k * 3 % 50)).alias("pitch"), F.when(k % 6 > 0, F.array(n(k % 10), n(k % 10), n(k % 10 + 20 + k % 50), n(k % 10 + 100))).alias("bbox"),
+        (n(k * 13 % 20) / 20).alias("sharpness_score"), F.when(k % 8 > 0, k % 3).alias("created_at"))
+
+
+_POSED = _VIEWS + """, p AS (SELECT user_id, cluster_id, face_id, representative_type, CASE WHEN face_id % 9 = 0 THEN 0 ELSE 1 END AS still, CASE face_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS liked,
+floor(CAST(face_id * 7 % 10 AS DOUBLE) / 10 / 0.05::DOUBLE) AS quality, floor(greatest(0, 1 - (CASE WHEN face_id % 5 > 0 THEN CAST(face_id * 11 % 120 AS DOUBLE) ELSE 0 END / 90 + CAST(face_id * 3 % 50 AS DOUBLE) / 90) / 2) / 0.05::DOUBLE) AS pose,
+floor(CASE WHEN face_id % 6 > 0 THEN (20 + face_id % 50) * 100 ELSE 0 END / 1000) AS area, floor(CAST(face_id * 13 % 20 AS DOUBLE) / 20 / 0.05::DOUBLE) AS sharpness, CASE WHEN face_id % 8 > 0 THEN face_id % 3 END AS made FROM faces),
+k AS (SELECT user_id, cluster_id, face_id FROM p QUALIFY row_number() OVER (PARTITION BY user_id, cluster_id ORDER BY representative_type <> 2 DESC, still DESC, liked DESC, quality DESC, pose DESC, area DESC, sharpness DESC, made DESC NULLS LAST, face_id) = 1)"""
+_add("cluster_default_covers", lambda s, d: people.default_covers(_posed(s, d)), _POSED + " SELECT user_id, cluster_id, face_id FROM k")
+_add("cluster_covers_ensured", lambda s, d: people.defaults_ensured(_posed(s, d), _posed(s, d)).select("user_id", "cluster_id", "face_id", "representative_type"),
+     _POSED + ", h AS (SELECT user_id, cluster_id FROM p GROUP BY 1, 2 HAVING bool_or(representative_type = 1)) SELECT user_id, cluster_id, face_id, CASE WHEN (user_id, cluster_id, face_id) IN (SELECT (user_id, cluster_id, face_id) FROM k) AND (user_id, cluster_id) NOT IN (SELECT (user_id, cluster_id) FROM h) THEN 1 ELSE representative_type END AS representative_type FROM p")
+_add("synonym_tokens", lambda s, d: search.synonym_tokens(base(s, d, "customer").select(F.element_at(F.split("c_name", "#"), 1).alias("seed")).unionByName(base(s, d, "nation").select(F.col("n_name").alias("seed"))).unionByName(base(s, d, "region").select(F.col("r_name").alias("seed"))), base(s, d, "nation").join(base(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 3 > 0").select(F.col("r_name").alias("key"), F.col("n_name").alias("value"))),
+     """WITH p AS (SELECT r_name AS k, n_name AS v FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 > 0), q AS (SELECT trim(string_split(c_name, '#')[1]) AS s FROM customer UNION SELECT n_name FROM nation UNION SELECT r_name FROM region)
+SELECT s AS seed, s AS token FROM q UNION SELECT s, v FROM q JOIN p ON k = s UNION SELECT s, k FROM q JOIN p ON v = s UNION SELECT s, b.v FROM q JOIN p a ON a.v = s JOIN p b ON b.k = a.k""")
+_GROUPS, _ACTIONS = [["the", "then"], ["ingen", "THEIN"], ["that", ""], ["with"]], ["that"]
+_has = lambda *ws: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + ")"
+_GATE = f"({' + '.join(f'CAST({_has(w)} AS INT)' for w in ('the', 'then', 'ingen', 'thein', 'that', 'with'))} >= 2 AND CAST({_has('the', 'then')} AS INT) + CAST({_has('ingen', 'thein')} AS INT) + CAST({_has('that')} AS INT) + CAST({_has('with')} AS INT) >= 3 AND {_has('that')})"
+_add("lexical_gate", lambda s, d: base(s, d, "documents").where(search.passes_gate(F.col("text"), _GROUPS, _ACTIONS, 2)).select("doc_id"), f"SELECT doc_id FROM documents WHERE {_GATE}")
+_add("vector_hits_gated", lambda s, d: search.gated(base(s, d, "embeddings").select(F.col("vec_id").alias("media_id"), "label"), base(s, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("media_id")), base(s, d, "documents").withColumnRenamed("doc_id", "media_id"), search.passes_gate(F.col("text"), _GROUPS, _ACTIONS, 2)),
+     f"SELECT vec_id AS media_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR {_GATE})")

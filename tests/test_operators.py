@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterlake.functions import geo, vectors
-from shutterlake.operators import neighbours, places, search, tables
+from shutterlake.operators import density, neighbours, people, places, search, tables
 from shutterlake.sources import geojson, metadata
 from shutterlake.streaming import ingest
 
@@ -177,3 +177,57 @@ def test_uploads_are_routed_on_a_stream(spark, tmp_path):
     run = ingest.routed(stream, media).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {(r["hash"], r["route"], r["media_id"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {("a", "duplicate", 7), ("b", "restore", 8), ("c", "new", None), (None, "new", None)}
+
+
+@pytest.mark.parametrize("block", [7, 2_048])
+def test_density_clusters_against_the_walk(spark, block):
+    rng = random.Random(5)
+    rows = []
+    for user in (1, 2):
+        for k in range(60):
+            turn = rng.choice([0.0, 0.3, 0.33, 1.5, 2.2, 4.0]) + rng.random() * 0.6
+            rows.append((user, user * 1000 + k, [math.cos(turn), math.sin(turn)]))
+    rows += [(3, 1, [1.0, 0.0]), (3, 2, None), (3, 1, [1.0, 0.0])]
+    eps, least = 0.0005, 4
+    want = set()
+    for user in (1, 2):
+        own = [(i, v) for u, i, v in rows if u == user]
+        near = {i: [j for j, w in own if 1 - (v[0] * w[0] + v[1] * w[1]) <= eps] for i, v in own}
+        label, n = {}, 0
+        for i, _ in own:  # in order of id, as plain DBSCAN goes
+            if i in label or len(near[i]) < least:
+                continue
+            queue, n = [i], n + 1
+            while queue:
+                x = queue.pop()
+                if x in label:
+                    continue
+                label[x] = n - 1
+                if len(near[x]) >= least:
+                    queue += near[x]
+        assert n > 1 and len(label) < len(own)
+        want |= {(user, i, label.get(i, -1)) for i, _ in own}
+    df = spark.createDataFrame(rows, "user_id bigint, face_id bigint, embedding array<double>")
+    got = density.density_clusters(df, eps, least, block)
+    assert {tuple(r) for r in got.collect()} == want | {(3, 1, -1)}
+    assert density.density_clusters(df.limit(0), eps, least).count() == 0
+
+
+def test_covers_by_rank_and_hand(spark):
+    schema = "user_id bigint, cluster_id bigint, face_id bigint, representative_type int, media_type string, expression string, quality_score double, yaw double, pitch double, bbox array<double>, sharpness_score double, created_at bigint"
+    row = lambda c, f, kind, media="image", look=None, q=0.5, box=None: (1, c, f, kind, media, look, q, None, None, box, None, None)
+    rows = [row(1, 1, 0, "video", "happy", 1.0), row(1, 2, 0, q=0.51), row(1, 3, 0, q=0.53), row(1, 4, 2, "image", "happy"), row(2, 5, 2), row(2, 6, 2, look="neutral"), row(3, 7, 1), row(3, 8, 0, "image", "happy"), row(4, 9, 0, box=[1.0]), row(4, 10, 0, box=[0.0, 0.0, 50.0, 50.0])]
+    faces = spark.createDataFrame(rows, schema)
+    assert {(r.cluster_id, r.face_id) for r in people.default_covers(faces).collect()} == {(1, 2), (2, 6), (3, 8), (4, 10)}
+    kinds = {r.face_id: r.representative_type for r in people.defaults_ensured(faces, faces).collect()}
+    assert kinds == {1: 0, 2: 1, 3: 0, 4: 2, 5: 2, 6: 1, 7: 1, 8: 0, 9: 0, 10: 1}
+
+
+def test_gate_without_words_or_text(spark):
+    df = spark.createDataFrame([("A Dog runs",), (None,)], "t string")
+    passes = lambda *a: [r[0] for r in df.select(search.passes_gate(F.col("t"), *a)).collect()]
+    assert passes([]) == [False, False] and passes([[""]]) == [False, False]
+    assert passes([["dog"], ["cat"]]) == [True, False]
+    assert passes([["dog"], ["cat"], ["fish"]]) == [False, False]
+    assert passes([["dog"], ["cat"]], ["CAT"]) == [False, False]
+    assert [search.groups_needed(n) for n in range(7)] == [0, 1, 1, 2, 3, 3, 3]
