@@ -199,7 +199,7 @@ _add("image_exif", _exif, _LIVE + "SELECT id, width_px AS width, height_px AS he
 
 
 # ---- density clusters, covers by rank, synonyms, the gate of vector hits
-_EPS, _LEAST = 0.62, 3
+_EPS, _LEAST = 0.68, 3
 _add("face_density_clusters", lambda s, d: density.density_clusters(view(s, d, "faces"), _EPS, _LEAST),
      _VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", e AS MATERIALIZED (SELECT f.user_id, f.face_id AS a, g.face_id AS b FROM faces f JOIN faces g ON f.user_id = g.user_id AND 1 - list_dot_product(CAST(f.embedding AS DOUBLE[]), CAST(g.embedding AS DOUBLE[])) <= {_EPS}),
 c AS MATERIALIZED (SELECT user_id, a AS id FROM e GROUP BY 1, 2 HAVING count(*) >= {_LEAST}),
