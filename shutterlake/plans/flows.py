@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import geo, media, times, vectors
 from shutterlake.operators import density, filters, lifecycle, neighbours, people, places, search
-from shutterlake.plans.queries import _HAPPY, _LIVE, _POINTS, _VIEWS, Query, _live, _points
+from shutterlake.plans.queries import QUERIES as BASIC
+from shutterlake.plans.queries import _BM25, _HAPPY, _INDEX, _LIVE, _POINTS, _QUERY, _RECALL, _SIM, _VIEWS, Query, _live, _points, _vectors
 from shutterlake.sources import metadata
 from shutterlake.sources.views import base, live, view
 from shutterlake.streaming import ingest
@@ -237,3 +238,21 @@ _GATE = f"({' + '.join(f'CAST({_has(w)} AS INT)' for w in ('the', 'then', 'ingen
 _add("lexical_gate", lambda s, d: base(s, d, "documents").where(search.passes_gate(F.col("text"), _GROUPS, _ACTIONS, 2)).select("doc_id"), f"SELECT doc_id FROM documents WHERE {_GATE}")
 _add("vector_hits_gated", lambda s, d: search.gated(base(s, d, "embeddings").select(F.col("vec_id").alias("media_id"), "label"), base(s, d, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").alias("media_id")), base(s, d, "documents").withColumnRenamed("doc_id", "media_id"), search.passes_gate(F.col("text"), _GROUPS, _ACTIONS, 2)),
      f"SELECT vec_id AS media_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 7 = 0 OR {_GATE})")
+
+
+def _visual(s: SparkSession, d: str) -> DataFrame:
+    """Recall of one query over terms, full text and vectors; vectors only where full text or the gate agree."""
+    docs = base(s, d, "documents").withColumnRenamed("doc_id", "media_id")
+    fts = BASIC["fts_position_scores"](s, d)
+    alike = neighbours.most_alike(_vectors(s, d), _QUERY, 0.05, 25).select(F.col("id").alias("media_id"), (F.col("similarity") * search.VECTOR).alias("score"))
+    near = search.gated(alike, fts, docs, search.passes_gate(F.col("text"), _GROUPS, _ACTIONS, 2))
+    out = search.fused({"terms": BASIC["term_recall"](s, d), "fts": fts, "vector": near})
+    return out.select("media_id", F.round("score", 3).alias("score"), "terms", "fts", "vector")
+
+
+_add("visual_recall", _visual,
+     _INDEX + f""", q AS (SELECT * FROM (WITH {_BM25} SELECT media_id, greatest(6, 29 - row_number() OVER (ORDER BY round(score, 9) DESC, media_id)) AS score FROM m)),
+v AS (SELECT vec_id AS media_id, {_SIM} AS sim FROM embeddings), w AS (SELECT * FROM v WHERE sim >= 0.05 ORDER BY round(sim, 9) DESC, media_id DESC LIMIT 25),
+u AS (SELECT media_id, CAST(score AS DOUBLE) AS score, 1 AS terms, 0 AS fts, 0 AS vector FROM ({_RECALL}) UNION ALL SELECT media_id, score, 0, 1, 0 FROM q
+UNION ALL SELECT media_id, sim * 120, 0, 0, 1 FROM w WHERE media_id IN (SELECT media_id FROM q) OR media_id IN (SELECT doc_id FROM documents WHERE {_GATE}))
+SELECT media_id, round(round(sum(score), 6), 3) AS score, max(terms) AS terms, max(fts) AS fts, max(vector) AS vector FROM u GROUP BY media_id""")
