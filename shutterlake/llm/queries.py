@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import chat, latent, lm, order_minhash, packing, pii, pu_quality, quality_rules, sharding, toxicity
+from shutterlake.llm import chat, divergence, latent, lm, mixing, negatives, order_minhash, packing, pii, pu_quality, quality_rules, sharding, toxicity
 from shutterlake.llm.common import fold, table
 
 
@@ -69,9 +69,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % negatives.EVERY == 0)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": chat.SQL}
+    return {"op10_chat": chat.SQL, "op11_divergence": divergence.SQL, "op12_hard_negatives": negatives.SQL, "op13_mixing": mixing.SQL}
