@@ -49,14 +49,24 @@ def labelled(labels: DataFrame, target: str, allowed: Column, bound: int | None
 def examples(docs: DataFrame, labels: DataFrame, target: str, allowed: Column, bound: int = MAX_ROWS) -> DataFrame:
     """(shard, text, y) of labelled documents, to be written. The labels are broadcast: about ``bound`` pairs of numbers at most."""
     chosen = labelled(labels, target, allowed, bound)
-    return dealt(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), chosen.count())
+    return dealt(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), shards_for(chosen.count()))
 
 
-def dealt(rows: DataFrame, about: int) -> DataFrame:
-    """``rows`` (doc_id, text, ...), about so many, with their shard instead of doc_id: ROWS_A_SHARD or so in each, four at least."""
-    shards = max(4, about // ROWS_A_SHARD)
-    hashed = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(shards)).cast("int")).withColumn("turn", F.xxhash64("doc_id", "text", F.lit(4)))
-    return hashed.drop("doc_id").repartition(min(shards, MOST_FILES), "shard").sortWithinPartitions("shard", "turn").drop("turn")
+def shards_for(rows: int) -> int:
+    """ROWS_A_SHARD rows or so in each, four shards at least."""
+    return max(4, rows // ROWS_A_SHARD)
+
+
+def dealt(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` (doc_id, text, ...) with their shard instead of doc_id: by a hash, or, where they have a column ``to``, that one; spare
+    rows (a column ``spare``) come first in a shard."""
+    place = F.xxhash64("doc_id", "text", F.lit(3))
+    hashed = rows.withColumn("shard", F.pmod(place, F.lit(shards)).cast("int"))
+    if "to" in rows.columns:
+        hashed = hashed.withColumn("shard", F.coalesce("to", "shard")).drop("to")
+    hashed = hashed.withColumn("turn", F.xxhash64("doc_id", "text", F.lit(4)))
+    first = [F.desc("spare")] if "spare" in rows.columns else []
+    return hashed.drop("doc_id").repartition(min(shards, MOST_FILES), "shard").sortWithinPartitions("shard", *first, "turn").drop("turn")
 
 
 def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
