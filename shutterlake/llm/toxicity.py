@@ -2,12 +2,11 @@
 
 Features: words, pairs of neighbours, and pairs with one or two words between, hashed to BITS bits; a feature is there or not.
 Every coordinate has a learning rate of its own (from its squared gradients) and an L1 threshold, so few weights stay and the
-model is a small sparse table; its bound is 2 ** BITS weights. Coordinates that two of all examples have at least are learned.
+model is a small sparse table; its bound is 2 ** BITS weights. Coordinates that ``least`` of all examples have are learned (1: all).
 Learning goes by rounds over shards of the examples (``linear``): each shard goes on from the round's z and n document by
-document, and the next round starts from the mean change of a coordinate over the shards that moved its z by MOVED at least, so
-a word that few shards have is not thinned out by the others. Smaller moves are not sent: a coordinate that no shard ever moves
-so far would stay within ROUNDS * MOVED, below L1, and have weight 0 with them too. Shards are dealt by a hash, so none of this
-depends on files or tasks.
+document, and the next round starts from the mean change of a coordinate over the shards that met it, so a word that few shards
+have is not thinned out by the others. All changes are sent, a task's as blocks of bits that tell the coordinates and of half
+precision numbers with a scale for each block. Shards are dealt by a hash, so none of this depends on files or tasks.
 
 Defined results: a null or empty text scores by the bias alone (the share of toxic rows); with no labelled rows every score is
 0.5; rows repeated or without id are scored each; extra columns are not read.
@@ -27,10 +26,12 @@ from shutterlake.llm.common import Words, distinct, free_names, mixed, scratch,
 from shutterlake.llm.linear import MAX_ROWS, by_shard, examples, sigmoid
 
 BITS = 22
-ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
-ROUNDS = 4
-MOVED = 0.2
+ALPHA, BETA, L1, L2 = 6.0, 1.0, 3.5, 0.0
+ROUNDS = 6
+#: Coordinates that fewer examples have are not learned.
+LEAST = 1
 BLOCKS = 16
+CHANGES = 1 << 16
 THRESHOLD = 0.7
 SCORE = "__toxicity"
 
@@ -98,20 +99,51 @@ def learned(docs: list[np.ndarray], labels: list[int], z: np.ndarray, n: np.ndar
         n[own] = new
 
 
-def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.ndarray]:
-    """(bias, coordinates, weights) learned from examples (shard, text, y), written."""
+def _half(x: np.ndarray) -> tuple[float, bytes]:
+    """Numbers in half precision, and what to multiply them with."""
+    scale = float(np.abs(x).max(initial=0)) / 1_000 or 1.0
+    return scale, (x / scale).astype(np.float16).tobytes()
+
+
+def packed_changes(dz: np.ndarray, dn: np.ndarray, shards: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Summed changes of the coordinates and how many shards met each, block by block."""
+    for k in range(len(shards) // CHANGES):
+        own = slice(k * CHANGES, (k + 1) * CHANGES)
+        met = shards[own] > 0
+        if met.any():
+            (sz, z), (sn, n) = _half(dz[own][met]), _half(dn[own][met])
+            yield pa.RecordBatch.from_pylist([{"k": k, "met": np.packbits(met).tobytes(), "sz": sz, "z": z, "sn": sn, "n": n, "shards": shards[own][met].astype(np.uint16).tobytes()}], _CHANGE)
+
+
+def mean_changes(group: pa.Table) -> pa.Table:
+    """The mean change of each coordinate of a block over the shards that met it; 0 for coordinates that none did."""
+    z, n, shards = np.zeros(CHANGES), np.zeros(CHANGES), np.zeros(CHANGES)
+    for r in group.to_pylist():
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(r["met"], np.uint8)))
+        z[at] += r["sz"] * np.frombuffer(r["z"], np.float16)
+        n[at] += r["sn"] * np.frombuffer(r["n"], np.float16)
+        shards[at] += np.frombuffer(r["shards"], np.uint16)
+    shards = np.maximum(shards, 1)
+    return pa.Table.from_pydict({"k": group.column("k")[:1], "z": pa.array([(z / shards).astype(np.float32).tobytes()]), "n": pa.array([(n / shards).astype(np.float32).tobytes()])})
+
+
+_CHANGE = pa.schema([("k", pa.int32()), ("met", pa.binary()), ("sz", pa.float64()), ("z", pa.binary()), ("sn", pa.float64()), ("n", pa.binary()), ("shards", pa.binary())])
+
+
+def fit(rows: DataFrame, rounds: int = ROUNDS, least: int = LEAST) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bias, coordinates, weights) learned from examples (shard, text, y), written. ``least`` is 1 or 2."""
     spark = rows.sparkSession
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     bias = float(np.log((toxic + 0.5) / (total - toxic + 0.5)))
     z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
-    learn = spark.sparkContext.broadcast(np.packbits(often(rows)) if total else None)
+    learn = spark.sparkContext.broadcast(np.packbits(often(rows)) if total and least > 1 else None)
     for _ in range(rounds if total else 0):
         known = np.flatnonzero(n).astype(np.int32)
         sent = spark.sparkContext.broadcast((known, z[known], n[known]))
 
         def task(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             at, zs, ns = sent.value
-            allowed = np.unpackbits(learn.value).astype(bool)
+            allowed = None if learn.value is None else np.unpackbits(learn.value).astype(bool)
             z0, n0 = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
             z0[at], n0[at] = zs, ns
             z, n = z0.copy(), n0.copy()
@@ -119,26 +151,24 @@ def fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[float, np.ndarray, np.nd
             for _, part in by_shard(batches):
                 docs, labels = [], []
                 for batch, own in documents(part):
-                    docs += [x[allowed[x]] for x in own]
+                    docs += own if allowed is None else [x[allowed[x]] for x in own]
                     labels += batch.column("y").to_pylist()
                 learned(docs, labels, z, n, bias)
                 met = distinct(np.concatenate(docs))
-                moved = met[np.abs(z[met] - z0[met]) >= MOVED]
-                dz[moved] += z[moved] - z0[moved]
-                dn[moved] += n[moved] - n0[moved]
-                shards[moved] += 1
+                dz[met] += z[met] - z0[met]
+                dn[met] += n[met] - n0[met]
+                shards[met] += 1
                 z[met], n[met] = z0[met], n0[met]
-            i = np.flatnonzero(shards).astype(np.int32)
-            for a in range(0, len(i), 1 << 16):
-                k = i[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_pydict({"i": pa.array(k), "dz": pa.array(dz[k]), "dn": pa.array(dn[k]), "shards": pa.array(shards[k])})
-
-        mean = lambda c: (F.sum(c) / F.sum("shards")).cast("float").alias(c)
-        got = rows.mapInArrow(task, "i int, dz float, dn float, shards int").groupBy("i").agg(mean("dz"), mean("dn")).toArrow()  # at most 2 ** BITS rows
-        i = got.column("i").to_numpy()
-        z[i] += got.column("dz").to_numpy()
-        n[i] += got.column("dn").to_numpy()
+            yield from packed_changes(dz, dn, shards)
+
+        kind = "k int, met binary, sz double, z binary, sn double, n binary, shards binary"
+        got = rows.mapInArrow(task, kind).groupBy("k").applyInArrow(mean_changes, "k int, z binary, n binary")
+        for r in got.toLocalIterator():  # at most 2 ** BITS / CHANGES rows
+            own = slice(r["k"] * CHANGES, (r["k"] + 1) * CHANGES)
+            z[own] += np.frombuffer(r["z"], np.float32)
+            n[own] += np.frombuffer(r["n"], np.float32)
         sent.destroy()
+    learn.destroy()
     w = _weights(z, n).astype(np.float32)
     at = np.flatnonzero(w).astype(np.int32)
     return bias, at, w[at]
