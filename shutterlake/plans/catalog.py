@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from shutterlake.plans import flows, queries
+from shutterlake.plans import asked, flows, queries
 
-QUERIES = queries.QUERIES | flows.QUERIES
-SQL = queries.SQL | flows.SQL
+QUERIES = queries.QUERIES | flows.QUERIES | asked.QUERIES
+SQL = queries.SQL | flows.SQL | asked.SQL
