@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.operators import dictionary, intents
+from shutterlake.operators import dictionary, intents, segments
 from shutterlake.plans.queries import Query
 from shutterlake.sources.views import base
 
@@ -13,8 +13,10 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def _add(name: str, query: Query, sql: str) -> None:
-    QUERIES[name], SQL[name] = query, sql
+def _add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql:
+        SQL[name] = sql
 
 
 TODAY = F.lit("2025-03-15").cast("date")
@@ -109,3 +111,18 @@ _add("document_places", lambda s, d: _captions(s, d).select("doc_id", F.explode(
      _CAPTIONS + f"SELECT doc_id, CASE WHEN m = 'middleeast' THEN 'MIDDLE EAST' ELSE upper(m) END AS label, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_NAMES}')) AS m FROM c) GROUP BY ALL")
 _add("document_residual", lambda s, d: _captions(s, d).select("doc_id", F.md5("residual").alias("residual"), F.size("segments").alias("pieces")),
      _CAPTIONS + f"SELECT doc_id, md5(regexp_replace(text, '{_NAMES}', '', 'g')) AS residual, len(list_filter(string_split_regex(text, '{_NAMES}'), lambda x: x <> '')) AS pieces FROM c")
+
+
+def _segments(s: SparkSession, d: str) -> DataFrame:
+    """Words learned from all documents, in the documents without their white space. The best of all cuts is not SQL; a plain dynamic
+    programme is in the tests."""
+    docs = base(s, d, "documents")
+    own = docs.select("doc_id", dictionary.normalised(F.col("text")).alias("text"))
+    return segments.segmented(own, segments.words_counted(docs)).select("doc_id", F.size("words").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words"))
+
+
+_add("document_segments", _segments)
+_add("learned_words", lambda s, d: segments.words_counted(base(s, d, "documents")),
+     r"""SELECT word, n FROM (SELECT CASE WHEN regexp_full_match(w, '[\x00-\x7F]+') THEN lower(w) ELSE w END AS word, count(*) AS n
+FROM (SELECT unnest(string_split_regex(coalesce(text, ''), '[\s\x{3000},.;:!?、，。；：！？/\\|''"()\[\]{}]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL)
+WHERE n >= 2 AND strlen(word) <= 48 ORDER BY n DESC, word LIMIT 200000""")

@@ -1,13 +1,14 @@
 """Dictionary matches and time expressions against plain walks."""
 
 import datetime
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.operators import dictionary, intents
+from shutterlake.operators import dictionary, intents, segments
 
 TODAY = datetime.date(2025, 3, 15)
 
@@ -142,3 +143,51 @@ def test_understood_hard_rows(spark):
     assert [(got[i]["places"], got[i]["time"], got[i]["residual"], got[i]["segments"]) for i in (1, 2)] == [([], None, "", [])] * 2
     assert (got[3]["places"], got[3]["time"]["value"], got[3]["segments"]) == (["FR"], "2024", ["在", "和"])
     assert intents.understood(frame.limit(0), places, F.lit("2025-03-15").cast("date")).count() == 0
+
+
+def plain_words(text, counts):
+    """The best cut by a plain dynamic programme, from whole weights; of equal sums the longer last word."""
+    total = sum(counts.values())
+    weight = {w: round(math.log2(n / total) * segments.SCALE) for w, n in counts.items()}
+    best = [(0, 0)] + [None] * len(text)
+    for i in range(1, len(text) + 1):
+        options = []
+        for k in range(i):
+            w = weight.get(text[k:i], round(math.log2(0.5 / total) * segments.SCALE) if i - k == 1 else None)
+            if w is not None:
+                options.append((best[k][0] + w, len(text[k:i].encode()), k))
+        best[i] = max(options)[0], max(options)[2]
+    out, i = [], len(text)
+    while i:
+        out.append(text[best[i][1] : i])
+        i = best[i][1]
+    return out[::-1]
+
+
+def test_segments_are_those_of_a_plain_programme(spark):
+    rng = random.Random(12)
+    letters = "abc天去年海"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    counts = {word(rng.randrange(1, 5)): rng.randrange(1, 90) for _ in range(40)}
+    texts = [(i, word(rng.randrange(0, 40)) + rng.choice(["", "zz", "ü"])) for i in range(150)] + [(200, ""), (201, None), (202, word(30_000))]
+    frame, words = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(list(counts.items()), "word string, n int")
+    for r in segments.segmented(frame, words).collect():
+        text = dict(texts)[r["id"]] or ""
+        assert "".join(r["words"]) == text
+        if len(text) < 1000:
+            assert r["words"] == plain_words(text, counts), text
+    for r in segments.segmented(frame.where("id < 150"), words, search=True).collect():
+        want = []
+        for w in plain_words(dict(texts)[r["id"]], counts):
+            for n in (2, 3):
+                want += [w[i : i + n] for i in range(len(w) - n + 1) if n < len(w) and w[i : i + n] in counts]
+            want.append(w)
+        assert r["words"] == want
+    assert [r["words"] for r in segments.segmented(frame.limit(3), words.limit(0)).collect()] == [list(t) for _, t in texts[:3]]
+
+
+def test_search_words(spark):
+    words = spark.createDataFrame([("小狗", 9), ("海边", 5), ("海边小狗", 2), ("在", 7)], "word string, n int")
+    texts = spark.createDataFrame([(1, "A Dog, (Beach)/dog"), (2, "海边小狗在 Beach2024 跑"), (3, None), (4, "")], "id int, text string")
+    got = {r["id"]: r["tokens"] for r in segments.search_words(texts, words, stops=["在"]).collect()}
+    assert got == {1: ["a", "dog", "beach"], 2: ["海边", "小狗", "海边小狗", "beach2024", "跑"], 3: [], 4: []}
