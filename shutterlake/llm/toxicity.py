@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import Words, distinct, free_names, mixed, scratch, slices
 from shutterlake.llm.linear import MAX_ROWS, by_shard, examples, sigmoid
 
-BITS = 22
+BITS = 21
 ALPHA, BETA, L1, L2 = 6.0, 1.0, 3.5, 0.0
-ROUNDS = 6
+ROUNDS = 4
 #: Coordinates that fewer examples have are not learned.
 LEAST = 1
 BLOCKS = 16
