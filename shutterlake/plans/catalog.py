@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from shutterlake.plans import asked, flows, queries
+from shutterlake.plans import asked, flows, indexed, queries
 
-QUERIES = queries.QUERIES | flows.QUERIES | asked.QUERIES
-SQL = queries.SQL | flows.SQL | asked.SQL
+QUERIES = queries.QUERIES | flows.QUERIES | asked.QUERIES | indexed.QUERIES
+SQL = queries.SQL | flows.SQL | asked.SQL | indexed.SQL
