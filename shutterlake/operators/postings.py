@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from shutterlake.operators import search
 from shutterlake.sources.shared import kept
 
-SPAN, BUCKETS = 1 << 12, 64
+SPAN, BUCKETS = 1 << 12, 16
 #: A search for the best k looks at so many blocks before it passes over blocks.
 FIRST = 16
 _POSTINGS = "token string, block bigint, entries array<struct<o: smallint, tf: double, d: int>>, n int, max_tf double, min_d int, generation int, bucket int"
@@ -42,7 +42,8 @@ def fulltext(docs: DataFrame, fields: dict[str, float]) -> tuple[DataFrame, Data
     own = [(w, search.tokens(F.coalesce(F.col(c), F.lit("")))) for c, w in fields.items()]
     size = reduce(Column.__add__, (F.size(t) for _, t in own)).alias("d")
     each = F.concat(*(_weighted(t, w) for w, t in own))
-    rows = docs.where("media_id IS NOT NULL").select("media_id", size, F.explode(each).alias("e"))
+    # sizes and tokens are columns before tokens become rows; else each row would find them anew
+    rows = docs.where("media_id IS NOT NULL").select("media_id", size, each.alias("each")).select("media_id", "d", F.explode("each").alias("e"))
     return rows.groupBy("media_id", F.col("e.token").alias("token")).agg(F.sum("e.w").alias("tf"), F.max("d").alias("d")), docs.where("media_id IS NOT NULL").select("media_id", size)
 
 
