@@ -205,7 +205,8 @@ def mined(rows: DataFrame, anchor: Column, positives: int = POSITIVES, negatives
         found = selected(rows, block, whole, positives, kind).toArrow()  # ``positives`` rows an anchor
         at, score, id_, rank = (found.column(c).to_numpy() for c in ("w", "score", "id", "rank"))
         lows, highs = np.ones((size, positives), np.int64), np.zeros((size, positives), np.int64)
-        lows[at, rank - 1], highs[at, rank - 1] = -(-low * score // 100), high * score // 100
+        tens, ones = np.divmod(score, 100)  # so that no product leaves a long
+        lows[at, rank - 1], highs[at, rank - 1] = low * tens - (-low * ones // 100), high * tens + high * ones // 100
         windows = Windows(lows, highs, np.full((size, positives), negatives), False)
         hard = selected(rows, block, windows, negatives, kind)
         given = spark.createDataFrame(pa.Table.from_pydict({"w": pa.array(at * positives + rank - 1), "anchor_id": pa.array(block.value.ids[at]), "positive_id": pa.array(id_), "positive_score": pa.array(score)}))
