@@ -16,8 +16,8 @@ from shutterlake.sources.shared import kept
 
 #: Rows of a user are compared in tiles of two blocks of about so many rows each.
 BLOCK = 2_048
-#: Bands of at least so many bits are worth an equi-join.
-BAND_BITS = 7
+#: Bands of at least so many bits are worth an equi-join: shorter ones make more joined rows than tiles make comparisons.
+BAND_BITS = 12
 
 
 def tiles(rows: DataFrame, block: int = BLOCK) -> DataFrame:
