@@ -73,3 +73,39 @@ def names_taken(albums: DataFrame, wanted: DataFrame) -> DataFrame:
     other = albums.select("user_id", "name", F.col("id").alias("__id"))
     same = (wanted["user_id"] == other["user_id"]) & (wanted["name"] == other["name"]) & ~wanted["id"].eqNullSafe(other["__id"])
     return wanted.join(other, same, "left_semi")
+
+
+def albums_created(albums: DataFrame, wanted: DataFrame, at: int) -> DataFrame:
+    """``albums`` (id, user_id, name, ..., created_at, updated_at, deleted_at) with ``wanted`` (id, user_id, name) whose name is not blank and that no live album of the
+    user has; of wanted ones with one name the smallest id."""
+    live = albums.where("deleted_at IS NULL")
+    fit = wanted.withColumn("name", F.trim("name")).where("name <> ''")
+    one = fit.groupBy("user_id", "name").agg(F.min("id").alias("id"))
+    new = one.join(names_taken(live, one), ["user_id", "name"], "left_anti")
+    filled = {"id": F.col("id"), "user_id": F.col("user_id"), "name": F.col("name"), "created_at": F.lit(at).cast("bigint"), "updated_at": F.lit(at).cast("bigint"), "media_count": F.lit(0).cast("bigint")}
+    return albums.unionByName(new.select(*(filled.get(c, F.lit(None)).cast(albums.schema[c].dataType).alias(c) for c in albums.columns)))
+
+
+def covers_set(albums: DataFrame, edges: DataFrame, media: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``albums`` with covers by hand, from ``wanted`` (id, cover_media_id): only where the media is live and in the album."""
+    there = edges.join(media.where("deleted_at IS NULL").select(F.col("id").alias("media_id")), "media_id", "left_semi")
+    fit = wanted.join(there.select(F.col("album_id").alias("id"), F.col("media_id").alias("cover_media_id")), ["id", "cover_media_id"], "left_semi")
+    return tables.patch(albums, fit, ["id"], ["cover_media_id"])
+
+
+def removed(edges: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges without the wanted ones (album_id, media_id), and the albums (album_id, removed) that lost some."""
+    gone = edges.join(wanted.select("album_id", "media_id").distinct(), ["album_id", "media_id"], "left_semi")
+    return edges.join(wanted.select("album_id", "media_id"), ["album_id", "media_id"], "left_anti").select(*edges.columns), gone.groupBy("album_id").agg(F.count("*").alias("removed"))
+
+
+def albums_refreshed(albums: DataFrame, edges: DataFrame, media: DataFrame, touched: DataFrame) -> DataFrame:
+    """``albums`` where those of ``touched`` (album_id) have their number of live media and, as cover, what they had if it is still among
+    these, else the one added last (null without any)."""
+    live = edges.join(media.where("deleted_at IS NULL").select(F.col("id").alias("media_id")), "media_id", "left_semi")
+    own = touched.select(F.col("album_id").alias("id")).distinct().withColumn("__t", F.lit(True))
+    stats = live.groupBy(F.col("album_id").alias("id")).agg(F.count("*").alias("__n"), F.max(F.struct("added_at", "media_id"))["media_id"].alias("__latest"))
+    stays = live.select(F.col("album_id").alias("id"), F.col("media_id").alias("cover_media_id"), F.lit(True).alias("__stays")).distinct()
+    joined = albums.join(own, "id", "left").join(stats, "id", "left").join(stays, ["id", "cover_media_id"], "left")
+    changed = {"media_count": F.coalesce("__n", F.lit(0)), "cover_media_id": F.when(F.col("__stays"), F.col("cover_media_id")).otherwise(F.col("__latest"))}
+    return joined.select(*(F.when(F.col("__t"), changed[c]).otherwise(F.col(c)).cast(albums.schema[c].dataType).alias(c) if c in changed else F.col(c) for c in albums.columns))

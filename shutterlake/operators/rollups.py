@@ -53,6 +53,21 @@ def numbered(rows: DataFrame, key: str, by: str) -> DataFrame:
     return cut.withColumn("nth", nth).join(bases, [key, "run"]).select(*rows.columns, (F.col("base") + F.col("nth")).alias("k"))
 
 
+_STEM = r"(?s)^(.+?)(\.[^.]*)?$"
+_NUMBERED = r"(?s)^(.+)_([0-9]{1,9})(\.[^.]*)?$"
+
+
 def numbered_names(files: DataFrame) -> DataFrame:
-    """File names made distinct: the second of a name gets the suffix _1, and so on, by id."""
-    return numbered(files, "name", "id").select(*files.columns, F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), "k")).alias("unique_name"))
+    """File names made distinct: the second of a name gets the suffix _1 before its extension, and so on, by id.
+
+    Where files truly have such names ("a_3.jpg" beside two "a.jpg"), numbers go on after the largest of them, so no name is given that
+    a file has. A null name stays null.
+    """
+    once = files.where("name IS NOT NULL").select("name").distinct().where(F.col("name").rlike(_NUMBERED))
+    part = lambda i: F.regexp_extract("name", _NUMBERED, i)
+    largest = once.groupBy(F.concat(part(1), part(3)).alias("__name")).agg(F.max(part(2).cast("bigint")).alias("__largest"))
+    rows = numbered(files.where("name IS NOT NULL"), "name", "id").join(largest, F.col("name") == F.col("__name"), "left")
+    number = F.col("k") + F.coalesce("__largest", F.lit(0))
+    suffixed = F.concat(F.regexp_extract("name", _STEM, 1), F.lit("_"), number.cast("string"), F.regexp_extract("name", _STEM, 2))
+    named = rows.select(*files.columns, F.when(F.col("k") == 0, F.col("name")).otherwise(suffixed).alias("unique_name"))
+    return named.unionByName(files.where("name IS NULL").select(*files.columns, F.lit(None).cast("string").alias("unique_name")))

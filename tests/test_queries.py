@@ -4,6 +4,7 @@ import os
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from shutterlake.plans.catalog import QUERIES, SQL
@@ -21,7 +22,7 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame)]
-    plain = lambda v: "" if v is None or v != v else v if isinstance(v, str) else round(float(v), 6)
+    plain = lambda v: "" if v is None or v is pd.NA or v is pd.NaT or v != v else v if isinstance(v, str) else round(float(v), 6)
     return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=str)
 
 
