@@ -42,7 +42,7 @@ def content_hash(content: Column) -> Column:
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, size, hash, format) of the files under ``path`` whose names match ``pattern``.
 
-    A file is a row, read by the task that hashes it, so a file must fit a row (2 GB).
+    A file is a row, read by the task that hashes it, so a file must fit a row (2 GB). Spark's source passes over empty files.
     """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return read.select("path", F.col("length").alias("size"), content_hash(F.col("content")).alias("hash"), image_format(F.col("content")).alias("format"))

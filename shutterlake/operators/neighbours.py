@@ -113,13 +113,33 @@ def most_alike(vectors: DataFrame, query: list[float], least: float, k: int) ->
 
 
 def centroids(faces: DataFrame) -> DataFrame:
-    """(user_id, cluster_id, place, mean) of each cluster's vectors, one row a place."""
-    each = faces.select("user_id", "cluster_id", F.posexplode("embedding").alias("place", "v"))
-    return each.groupBy("user_id", "cluster_id", "place").agg(F.avg(F.col("v").cast("double")).alias("mean"))
+    """(user_id, cluster_id, place, mean) of each cluster's vectors, one row a place. Tasks send a sum for each cluster of a batch; vectors
+    with a null in them, or none, are left out."""
 
-
-def cluster_distances(faces: DataFrame) -> DataFrame:
-    """(user_id, a, b, distance) of a user's clusters a < b: the least cosine distance between their faces (unit vectors).
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            first = np.cumsum(sizes) - sizes
+            user, cluster = batch.column("user_id").to_numpy(zero_copy_only=False), batch.column("cluster_id").to_numpy(zero_copy_only=False)
+            order = np.lexsort((sizes, cluster, user))
+            key = np.stack([user[order], cluster[order], sizes[order]])
+            new = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])) if len(order) else np.zeros(0, np.int64)
+            sums = []
+            for a, b in zip(new, np.append(new[1:], len(order)), strict=True):
+                own = order[a:b]
+                sums.append(flat[first[own][:, None] + np.arange(sizes[own[0]])[None, :]].sum(axis=0).tolist())
+            yield pa.RecordBatch.from_pydict({"user_id": pa.array(user[order][new]), "cluster_id": pa.array(cluster[order][new]), "n": pa.array(np.diff(np.append(new, len(order)))), "sums": pa.array(sums, pa.list_(pa.float64()))})
+
+    whole = faces.where("user_id IS NOT NULL AND cluster_id IS NOT NULL AND size(embedding) > 0").where(F.forall("embedding", lambda x: x.isNotNull()))
+    parts = whole.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("cluster_id").cast("bigint").alias("cluster_id"), "embedding").mapInArrow(task, "user_id bigint, cluster_id bigint, n bigint, sums array<double>")
+    each = parts.select("user_id", "cluster_id", "n", F.posexplode("sums").alias("place", "v"))
+    return each.groupBy("user_id", "cluster_id", "place").agg((F.sum("v") / F.sum("n")).alias("mean"))
+
+
+def cluster_distances(faces: DataFrame, most: float | None = None) -> DataFrame:
+    """(user_id, a, b, distance) of a user's clusters a < b: the least cosine distance between their faces (unit vectors); with ``most``, of
+    those at most so far apart, so that no others leave a tile.
 
     Products of tiles as matrices, and of each tile the least for each two clusters; only these meet.
     """
@@ -134,7 +154,7 @@ def cluster_distances(faces: DataFrame) -> DataFrame:
         cl, at_l = np.unique(cluster[order_l], return_index=True)
         cr, at_r = np.unique(cluster[order_r], return_index=True)
         least = np.minimum.reduceat(np.minimum.reduceat(d, at_l, axis=0), at_r, axis=1)
-        x, y = np.nonzero(cl[:, None] != cr[None, :])
+        x, y = np.nonzero((cl[:, None] != cr[None, :]) & (least <= (np.inf if most is None else most)))
         a, b = cl[x], cr[y]
         return pa.Table.from_pydict({"user_id": pa.array(np.full(len(a), tile.column("user_id")[0].as_py(), np.int64)), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "distance": pa.array(least[x, y])})
 
@@ -175,7 +195,7 @@ def components(links: DataFrame) -> DataFrame:
 def clusters_merged(faces: DataFrame, threshold: float = 0.4) -> DataFrame:
     """(user_id, cluster_id, merged_id) of all clusters: chains of clusters that have faces at most ``threshold`` apart are one, with the
     smallest of their ids."""
-    near = cluster_distances(faces).where(F.col("distance") <= threshold)
+    near = cluster_distances(faces, threshold)
     roots = components(near).select("user_id", F.col("id").alias("cluster_id"), "root")
     own = faces.where("cluster_id IS NOT NULL").select("user_id", "cluster_id").distinct()
     return own.join(roots, ["user_id", "cluster_id"], "left").select("user_id", "cluster_id", F.coalesce("root", "cluster_id").alias("merged_id"))

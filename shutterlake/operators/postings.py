@@ -19,6 +19,7 @@ out; empty texts count as documents of length 0; an empty table makes an empty i
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,10 +103,15 @@ def change(entries: DataFrame, sizes: DataFrame, deleted: DataFrame, path: str)
 
 def _rows(spark: SparkSession, path: str, tokens: list[str]) -> DataFrame:
     """Rows of the tokens; entries of dead documents are taken out."""
-    done = _committed(spark, path)
     own = spark.createDataFrame([(t,) for t in tokens], "token string").select(F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")).distinct()
     buckets = [r[0] for r in own.collect()]  # a row a token
-    rows = _read(spark, path, "postings", _POSTINGS).where(F.col("generation").isin(done) & F.col("bucket").isin(buckets) & F.col("token").isin(tokens))
+    return _alive(spark, path, lambda rows: rows.where(F.col("bucket").isin(buckets) & F.col("token").isin(tokens)))
+
+
+def _alive(spark: SparkSession, path: str, some: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of the index that ``some`` keeps, without the entries of dead documents."""
+    done = _committed(spark, path)
+    rows = some(_read(spark, path, "postings", _POSTINGS).where(F.col("generation").isin(done)))
     dead = _read(spark, path, "dead", _DEAD).where(F.col("generation").isin(done))
     places = dead.groupBy(F.col("of").alias("generation"), F.floor(F.col("media_id") / SPAN).alias("block")).agg(F.collect_set(F.pmod("media_id", F.lit(SPAN)).cast("smallint")).alias("gone"))
     met = rows.join(places, ["generation", "block"], "left")
@@ -162,3 +168,20 @@ def term_recall(spark: SparkSession, path: str, fields: list[str], wanted: list[
     token = F.split("token", SEPARATOR)
     each = rows.select(token[0].alias("field"), token[1].alias("term"), "block", F.explode("entries.o").alias("o"))
     return search.term_recall(each.select((F.col("block") * SPAN + F.col("o")).alias("media_id"), "field", "term"), wanted)
+
+
+def segment_recall(spark: SparkSession, path: str, fields: list[str], queries: DataFrame) -> DataFrame:
+    """(query_id, media_id, score) for many ``queries`` (query_id, segment, term) at once, from an index of ``termed``: media that have a term of
+    each of a query's segments, in any field. The score sums field and term weights of all of a query's terms that a media row has, each
+    (field, term) once. Rows of the index meet queries by token; a query's media are added up in Spark."""
+    wanted = kept(queries.where("term <> ''").select("query_id", "segment", "term").distinct())
+    tokens = wanted.select("query_id", "segment", "term", F.explode(F.array(*map(F.lit, fields))).alias("field")).withColumn("token", F.concat("field", F.lit(SEPARATOR), "term"))
+    rows = _alive(spark, path, lambda r: r.join(tokens.select("token").distinct(), "token", "left_semi"))
+    hits = rows.select("token", "block", F.explode("entries.o").alias("o")).join(tokens, "token")
+    hits = hits.select("query_id", "segment", "field", "term", (F.col("block") * SPAN + F.col("o")).alias("media_id"))
+    weight = F.coalesce(F.create_map(*(F.lit(x) for kv in search.FIELD_WEIGHTS.items() for x in kv))[F.col("field")], F.lit(search.OTHER_FIELD)) + F.when(F.length("term") >= 2, search.LONG_TERM).otherwise(search.SHORT_TERM)
+    # a term of two segments meets both, and counts once
+    one = hits.groupBy("query_id", "media_id", "field", "term").agg(F.collect_set("segment").alias("segments"), F.max(weight).alias("w"))
+    own = one.groupBy("query_id", "media_id").agg(F.sum("w").alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("segments")))).alias("met"))
+    parts = wanted.groupBy("query_id").agg(F.count_distinct("segment").alias("parts"))
+    return own.join(parts, "query_id").where("met = parts").select("query_id", "media_id", "score")

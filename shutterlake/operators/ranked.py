@@ -57,7 +57,7 @@ def metrics() -> Column:
     side = lambda a, b: F.col("bbox")[b] - F.col("bbox")[a]
     area = F.coalesce(F.when(F.size("bbox") == 4, side(0, 2) * side(1, 3)), F.lit(0.0)).cast("double")
     return F.struct(
-        F.col("face_id").alias("face_id"), (F.col("media_type") == "video").cast("int").alias("video"), liked.alias("liked"), _zero("quality_score").alias("quality"),
+        F.col("face_id").alias("face_id"), F.when(F.col("media_type") == "video", 1).otherwise(0).alias("video"), liked.alias("liked"), _zero("quality_score").alias("quality"),
         pose.alias("pose"), area.alias("area"), _zero("sharpness_score").alias("sharpness"), _zero("created_at").alias("at"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shutterlake.sources.shared import kept
+
 #: Weights of the fields, and of a term by its length.
 FIELD_WEIGHTS = {"description": 200, "keywords": 180, "subject_tags": 170, "action_tags": 120, "scene_tags": 100}
 OTHER_FIELD, SHORT_TERM, LONG_TERM, OCR_HIT, VECTOR = 40, 16, 40, 85, 120
@@ -122,6 +124,10 @@ def passes_gate(text: Column, groups: list[list[str]], actions: list[str] | None
 
 
 def gated(hits: DataFrame, found: DataFrame, docs: DataFrame, passes: Column) -> DataFrame:
-    """Of vector ``hits`` (media_id, ...) those that full-text search ``found`` (media_id) as well, or whose text in ``docs`` ``passes``."""
-    sure = found.select("media_id").unionByName(docs.where(passes).select("media_id")).distinct()
+    """Of vector ``hits`` (media_id, ...) those that full-text search ``found`` (media_id) as well, or whose text in ``docs`` ``passes``.
+
+    The texts of hits are written first: as a condition of the join, ``passes`` would be tried on all texts.
+    """
+    own = kept(docs.join(hits.select("media_id").distinct(), "media_id", "left_semi"))
+    sure = found.select("media_id").unionByName(own.where(passes).select("media_id")).distinct()
     return hits.join(sure, "media_id", "left_semi")

@@ -19,7 +19,7 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
-TODAY = F.lit("2025-03-15").cast("date")
+TODAY = "2025-03-15"
 _MONTH = "{array}('一', '二', '三', '四', '五', '六', '七', '八', '九', '十', '十一', '十二'){close}"
 #: A search text by its order's number, and the time that it must be found to ask for: kind, dimension, value, from, to, and what is left of the text.
 _CASES = [
@@ -69,7 +69,7 @@ def places(s: SparkSession, d: str) -> DataFrame:
 
 
 def _understood(s: SparkSession, d: str) -> DataFrame:
-    return intents.understood(searches(s, d), places(s, d), TODAY)
+    return intents.understood(searches(s, d), places(s, d), F.lit(TODAY).cast("date"))
 
 
 _IS_REGION = ", ".join(str(k) for k, c in enumerate(_CASES) if " r " in f" {c[0]} ")

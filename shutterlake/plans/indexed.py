@@ -44,3 +44,18 @@ _add("kept_bm25_top", lambda s, d: postings.bm25_top(s, _index(s, d, _full), _TE
 _add("kept_position_scores", lambda s, d: search.position_scores(postings.bm25(s, _index(s, d, _full), _TERMS)),
      f"WITH {_BM25} SELECT media_id, CAST(greatest(6, 29 - row_number() OVER (ORDER BY round(score, 9) DESC, media_id)) AS INT) AS score FROM m")
 _add("kept_term_recall", lambda s, d: postings.term_recall(s, _index(s, d, _termed), list(_FIELDS), _WANTED), _INDEX + _RECALL)
+
+
+def _segments(s: SparkSession, d: str) -> DataFrame:
+    """A search for each benchmark item: its first word, and one of the next two."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{2,}"), F.lit(0))
+    terms = F.explode(F.array(*(F.struct(F.lit(min(k, 1)).alias("segment"), F.get(F.col("w"), F.lit(k)).alias("term")) for k in range(3))))
+    queries = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), w.alias("w")).select("query_id", terms.alias("t")).select("query_id", "t.*").where("term IS NOT NULL")
+    return postings.segment_recall(s, _index(s, d, _termed), list(_FIELDS), queries)
+
+
+_add("kept_segment_recall", _segments, _INDEX + """, b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM benchmark),
+q AS (SELECT DISTINCT * FROM (SELECT item_id AS query_id, 0 AS segment, w[1] AS term FROM b UNION ALL SELECT item_id, 1, w[2] FROM b UNION ALL SELECT item_id, 1, w[3] FROM b) WHERE term IS NOT NULL),
+n AS (SELECT query_id, count(DISTINCT segment) AS n FROM q GROUP BY query_id), h AS (SELECT query_id, segment, media_id, field, i.term FROM q JOIN i ON i.term = q.term),
+k AS (SELECT h.query_id, media_id FROM h JOIN n ON n.query_id = h.query_id GROUP BY h.query_id, media_id HAVING count(DISTINCT segment) = any_value(n.n))
+SELECT query_id, media_id, CAST(sum(CASE field WHEN 'description' THEN 200 WHEN 'keywords' THEN 180 ELSE 100 END + 40) AS BIGINT) AS score FROM (SELECT DISTINCT h.query_id, h.media_id, field, term FROM h JOIN k ON k.query_id = h.query_id AND k.media_id = h.media_id) GROUP BY query_id, media_id""")

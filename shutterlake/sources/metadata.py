@@ -14,7 +14,7 @@ ORIENTATIONS = {
     "Horizontal (normal)": 1, "Mirror horizontal": 2, "Rotate 180": 3, "Mirror vertical": 4,
     "Mirror horizontal and rotate 270 CW": 5, "Rotate 90 CW": 6, "Mirror horizontal and rotate 90 CW": 7, "Rotate 270 CW": 8,
 }
-#: Names of one value, the first that is given counts.
+#: Names that readers give one value, the first that is given counts.
 _ALIASES = {
     "latitude": ["latitude", "GPSLatitude"], "longitude": ["longitude", "GPSLongitude"], "altitude": ["GPSAltitude"],
     "mime": ["MIMEType", "ContentType", "FileTypeMime"],
@@ -61,8 +61,10 @@ def probed(json: Column) -> list[Column]:
 def exif(json: Column) -> list[Column]:
     """Columns of an image from what an EXIF reader gives: one name for what readers name apart, orientation as a number, time in
     milliseconds (a text, or an object with the text as rawValue)."""
-    at = lambda name: F.get_json_object(json, f"$.{name}")
-    out = [F.coalesce(*map(at, names)).try_cast(_TYPES[k]).alias(k) for k, names in _ALIASES.items()]
+    # parsed once; an object among the values is its text
+    data = F.from_json(json, ", ".join(f"`{n}` STRING" for n in [*(n for names in _ALIASES.values() for n in names), "Orientation", "DateTimeOriginal"]))
+    inner = lambda name, key: F.when(data[name].startswith("{"), F.get_json_object(data[name], f"$.{key}"))
+    out = [F.coalesce(*(data[n] for n in names)).try_cast(_TYPES[k]).alias(k) for k, names in _ALIASES.items()]
     texts = F.create_map(*(F.lit(x) for kv in ORIENTATIONS.items() for x in kv))
-    turn = F.coalesce(at("Orientation.value").try_cast("int"), at("Orientation").try_cast("int"), F.try_element_at(texts, F.coalesce(at("Orientation"), F.lit(""))))
-    return [*out, turn.alias("orientation"), exif_ms(F.coalesce(at("DateTimeOriginal.rawValue"), at("DateTimeOriginal"))).alias("captured_ms")]
+    turn = F.coalesce(inner("Orientation", "value").try_cast("int"), data["Orientation"].try_cast("int"), F.try_element_at(texts, F.coalesce(data["Orientation"], F.lit(""))))
+    return [*out, turn.alias("orientation"), exif_ms(F.coalesce(inner("DateTimeOriginal", "rawValue"), data["DateTimeOriginal"])).alias("captured_ms")]
