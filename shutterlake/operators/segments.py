@@ -23,6 +23,7 @@ from shutterlake.operators.dictionary import Terms
 MOST_WORDS, LONGEST = 200_000, 48
 #: Weights are in these parts of a bit.
 SCALE = 1 << 20
+_NONE = -(1 << 30)
 #: What parts fields that have no Chinese, and what runs texts that have are cut into.
 DELIMITERS = r"[\s\x{3000},.;:!?、，。；：！？/\\|'\"()\[\]{}]+"
 RUNS = "[㐀-鿿]+|[a-zA-Z0-9]+"
@@ -59,7 +60,7 @@ class Graph:
         begins = np.flatnonzero((data & 0xC0) != 0x80)
         ends = np.append(begins[1:], n)
         sizes = np.unique(np.concatenate([end - start, ends - begins])) if n else np.zeros(0, np.int64)
-        weight = np.full((n + 1, len(sizes)), np.iinfo(np.int64).min // 4)
+        weight = np.full((n + 1, len(sizes)), _NONE, np.int32)
         weight[ends, np.searchsorted(sizes, ends - begins)] = self.unknown
         weight[end, np.searchsorted(sizes, end - start)] = self.weight[term]
         best = np.full(n + 1, np.iinfo(np.int64).min // 4)
@@ -72,7 +73,7 @@ class Graph:
             live = first[: np.searchsorted(-length, -t, side="right")]
             at = live + t
             from_ = np.maximum(at[:, None] - back[None, :], live[:, None])
-            sums = np.where(from_ == live[:, None], 0, best[from_]) + np.where(back[None, :] <= t, weight[at, ::-1], np.iinfo(np.int64).min // 4)
+            sums = np.where(from_ == live[:, None], 0, best[from_]) + np.where(back[None, :] <= t, weight[at, ::-1], _NONE)
             k = np.argmax(sums, axis=1)
             best[at], choice[at] = sums[np.arange(len(at)), k], back[k]
         stops, at = np.zeros(n + 1, bool), offsets[1:][np.diff(offsets) > 0]
@@ -98,7 +99,7 @@ def segmented(texts: DataFrame, words: DataFrame, column: str = "text", search:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, column, 1 << 20):
+            for batch in parts(whole, column, 1 << 19):
                 data, offsets = utf8(batch.column(column))
                 start, end, every = sent.value.cut(data, offsets)
                 if search and len(start):
