@@ -610,4 +610,4 @@ def test_queries_mark_folds_and_verdicts(spark):
 
 
 def test_queries_are_registered():
-    assert {re.match(r"op\d+", k)[0] for k in queries.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {re.match(r"op\d+", k)[0] for k in queries.queries()} == {f"op{n}" for n in range(1, 14)}
