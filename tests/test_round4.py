@@ -18,3 +18,13 @@ def agrees(spark, name, folder, tables):
 def test_points_right_on_the_edges_of_areas(spark):
     # supplier 230 is on an edge of area 104; the points of all suppliers repeat after 700
     agrees(spark, "areas_of_points", "/root/testdata/sf0.1", ["supplier", "nation"])
+
+
+def test_hashes_that_are_near_by_chance(spark, tmp_path):
+    # blocks of 40 hashes; these two differ in 7 bits, so some rows of one are near some of the other
+    own = duckdb.connect()
+    for t in ("customer", "nation", "region"):
+        own.sql(f"COPY (FROM '/root/testdata/sf0.001/{t}.parquet') TO '{tmp_path}/{t}.parquet'")
+    own.sql(f"""COPY (SELECT * EXCLUDE (k) REPLACE (CASE WHEN k < 40 THEN 6438 * 40 + k ELSE 9346 * 40 + k - 40 END AS o_orderkey, 5 AS o_custkey)
+        FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM '/root/testdata/sf0.001/orders.parquet') WHERE k < 80) TO '{tmp_path}/orders.parquet'""")
+    agrees(spark, "near_duplicate_groups", str(tmp_path), ["customer", "nation", "region", "orders"])
