@@ -1,8 +1,17 @@
 """Queries against their SQL on tables where rounding and chance meet them, and steps whose work must grow with the rows."""
 
+import datetime
+import random
+
 import duckdb
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from shutterlake.functions.batches import utf8
+from shutterlake.operators import intents, segments
 from shutterlake.plans.catalog import QUERIES, SQL
+from shutterlake.streaming import state
 
 
 def agrees(spark, name, folder, tables):
@@ -28,3 +37,36 @@ def test_hashes_that_are_near_by_chance(spark, tmp_path):
     own.sql(f"""COPY (SELECT * EXCLUDE (k) REPLACE (CASE WHEN k < 40 THEN 6438 * 40 + k ELSE 9346 * 40 + k - 40 END AS o_orderkey, 5 AS o_custkey)
         FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM '/root/testdata/sf0.001/orders.parquet') WHERE k < 80) TO '{tmp_path}/orders.parquet'""")
     agrees(spark, "near_duplicate_groups", str(tmp_path), ["customer", "nation", "region", "orders"])
+
+
+def test_figures_are_looked_for_once(spark):
+    asked = spark.createDataFrame([(1, "去年, 2024-05-06"), (2, None)], "id int, text string")
+    names = spark.createDataFrame([], "label string, term string")
+    out = intents.understood(asked, names, F.lit("2025-03-15").cast("date")).select("id", "time.kind")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # each pattern's matches stand twice in a signal's place
+    assert plan.count("regexp_extract_all") <= 3 * len(intents.PATTERNS)
+    assert sorted(map(tuple, out.collect())) == [(1, "absolute_date"), (2, None)]
+
+
+def test_routes_of_a_table_need_no_state_for_each_key(spark):
+    begin = datetime.datetime(2025, 1, 1)
+    events = [(1, "a", i, begin + datetime.timedelta(minutes=10 * i), "upload") for i in range(9)] + [(None, None, 9, None, "upload"), (None, None, 10, begin, "upload"), (2, "b", 11, begin, "upload")]
+    media = [(2, "b", 5), (3, "c", None)]
+    out = state.deduplicated(spark.createDataFrame(events, "user_id bigint, hash string, event_id bigint, ts timestamp, kind string"), spark.createDataFrame(media, "user_id bigint, hash string, deleted_at bigint"))
+    assert "TransformWithState" not in out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a key goes on from batch to batch
+    got = {r["event_id"]: r["route"] for r in out.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {0: "new", 6: "new", 10: "new", 11: "restore"} | {i: "duplicate" for i in (1, 2, 3, 4, 5, 7, 8, 9)}
+
+
+def test_a_long_text_is_cut_in_pieces(monkeypatch):
+    rng = random.Random(1)
+    text = "".join(rng.choice(["sea", "dog", "去年", "z", "é", "eado"]) for _ in range(20_000))
+    steps, real = [], np.argmax
+    monkeypatch.setattr(np, "argmax", lambda *a, **k: steps.append(1) or real(*a, **k))
+    data, offsets = utf8(pa.array(["", text, None, "doga"]))
+    start, end, _ = segments.Graph(["sea", "dog", "eado", "去年"], [9, 9, 1, 2]).cut(data, offsets)
+    assert start[0] == 0 and end[-1] == len(data) and (start[1:] == end[:-1]).all() and set(offsets.tolist()) <= {0, *end.tolist()}
+    assert len(steps) < 2_000
