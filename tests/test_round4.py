@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from shutterlake.functions.batches import utf8
-from shutterlake.operators import intents, segments
+from shutterlake.operators import intents, postings, segments
 from shutterlake.plans.catalog import QUERIES, SQL
+from shutterlake.sources.shared import many
 from shutterlake.streaming import state
 
 
@@ -70,3 +71,16 @@ def test_a_long_text_is_cut_in_pieces(monkeypatch):
     start, end, _ = segments.Graph(["sea", "dog", "eado", "去年"], [9, 9, 1, 2]).cut(data, offsets)
     assert start[0] == 0 and end[-1] == len(data) and (start[1:] == end[:-1]).all() and set(offsets.tolist()) <= {0, *end.tolist()}
     assert len(steps) < 2_000
+
+
+def test_entries_of_an_index_are_gathered_before_they_are_dealt(spark):
+    docs = spark.range(400).select(F.col("id").alias("media_id"), F.lit("Sea dog sea").alias("text"), F.lit("dog").alias("source"))
+    for made in (postings.fulltext(docs, {"text": 2.0, "source": 1.0}), postings.termed(docs, {"description": "text", "keywords": "source"})):
+        assert made[0].count() <= 3 * many(spark) and made[1].count() == 400
+
+
+def test_rows_that_share_an_id_add_up(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "sea dog"), (1, "sea"), (2, "sea"), (9, "x")], "media_id int, text string").repartition(3)
+    postings.build(*postings.fulltext(docs, {"text": 1.0}), str(tmp_path / "i"))
+    got = spark.read.parquet(str(tmp_path / "i/postings")).where("token = 'sea'").collect()
+    assert [[tuple(e) for e in r["entries"]] for r in got] == [[(1, 2.0, 2), (2, 1.0, 1)]] and [(r["n"], r["max_tf"], r["min_d"]) for r in got] == [(2, 2.0, 1)]
