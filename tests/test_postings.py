@@ -79,3 +79,27 @@ def test_terms_and_empty_index(spark, tmp_path, library):
     nulls = docs.where("media_id = 0").withColumn("media_id", F.lit(None).cast("bigint"))
     postings.change(*postings.fulltext(nulls.unionByName(docs), FIELDS), docs.limit(0), none)
     assert rows(postings.bm25(spark, none, ["sea"])) == rows(search.bm25(docs, FIELDS, ["sea"]))
+
+
+def test_rows_are_made_whole_where_a_block_meets(spark, tmp_path, monkeypatch):
+    texts = ["Sea dog sea", "straße Élan 去年 x1", "--", "", None, "ÇA va là, sea", "𝔸bc 😀 sea٣", "a-b_c", "İstanbul ΣΑΣ"]
+    docs = spark.createDataFrame([(i * i % 9001 - 50, texts[i % len(texts)], ["dog", "sea"][i % 2]) for i in range(900)], "media_id int, text string, source string").dropDuplicates(["media_id"])
+    whole = postings.fulltext(docs, FIELDS)
+    assert whole[0].columns == ["token", "block", "entries", "n", "max_tf", "min_d"]  # nothing is left to be merged
+    assert whole[0].groupBy("token", "block").count().where("count > 1").count() == 0
+    own = [search.tokens(F.coalesce(F.col(c), F.lit(""))) for c in FIELDS]
+    weighed = lambda t, w: F.transform(t, lambda x: F.struct(x.alias("t"), F.lit(w).alias("w")))
+    each = docs.select("media_id", (F.size(own[0]) + F.size(own[1])).alias("d"), F.explode(F.concat(*map(weighed, own, FIELDS.values()))).alias("e"))
+    want = sorted(map(tuple, each.groupBy("media_id", "d", "e.t").agg(F.sum("e.w")).collect()))
+    read = lambda made: sorted(map(tuple, made[0].select((F.col("block") * postings.SPAN).alias("b"), "token", F.explode("entries").alias("e")).select((F.col("b") + F.col("e.o")).alias("id"), "e.d", "token", "e.tf").collect()))
+    assert read(whole) == want
+    assert sorted(map(tuple, whole[1].collect())) == sorted(map(tuple, docs.select("media_id", F.size(own[0]) + F.size(own[1])).collect()))
+    # blocks with much text: some rows of a token, no document in two, and the same searches
+    monkeypatch.setattr(postings, "SLICE_BYTES", 200)
+    monkeypatch.setattr(postings, "MOST_BYTES", 900)
+    cut = postings.fulltext(docs, FIELDS)
+    assert cut[0].groupBy("token", "block").count().where("count > 1").count() > 0 and read(cut) == want
+    path = str(tmp_path / "i")
+    postings.build(*cut, path)
+    best = sorted(((r["media_id"], round(r["score"], 9)) for r in search.bm25(docs, FIELDS, ["sea"]).collect()), key=lambda r: (-r[1], r[0]))
+    assert [(r["media_id"], round(r["score"], 9)) for r in postings.bm25_top(spark, path, ["sea"], 30).collect()] == best[:30]
