@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import Words, mixed, slices, written
+from shutterlake.llm.common import Words, batches_of, mixed, slices, written
 
 BASE = 1.5
 WEIGHT, MIX = 0.45, 30.0
@@ -203,10 +203,11 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 class Model:
-    """What scoring needs on the workers besides the filter: sums, and the exact counts of frequent words."""
+    """What scoring needs on the workers besides the filter: sums, and the base scores of frequent words."""
 
     def __init__(self, total: int, distinct: int, middles: float, documents: int, most: tuple[int, int], heads: np.ndarray, counts: np.ndarray):
-        self.total, self.distinct, self.most, self.heads, self.counts = total, distinct, most, heads, counts
+        self.total, self.distinct, self.most, self.heads = total, distinct, most, heads
+        self.bases = self.base(counts)
         self.unigram = (_MIDDLE + 1) / (middles + distinct + 1)
         self.begin = level(np.array([documents]))[0]
 
@@ -231,7 +232,8 @@ class Trained:
         spark = docs.sparkSession
         size, documents = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
         self.buckets = 1 << max(4, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
-        merged = written(counted(docs, self.buckets))
+        with batches_of(spark):
+            merged = written(counted(docs, self.buckets))
         self.words = merged.select(F.explode("words").alias("w")).select("w.h", "w.c")
         sums = merged.select("bucket", "most", "tokens", "distinct", "middles", F.length("bits").alias("bytes")).collect()  # a row a bucket
         words = [r for r in sums if r["bucket"] < self.buckets]
@@ -303,13 +305,13 @@ def first_scores(docs: DataFrame, trained: Trained) -> DataFrame:
         own = own.withColumn("__levels", F.lit(None).cast("binary"))
         for i in range(len(trained.parts)):
             sent = trained.spark.sparkContext.broadcast(trained.part(i))
-            own = written(annotated(own, sent, trained.model.most))
+            with batches_of(trained.spark):
+                own = written(annotated(own, sent, trained.model.most))
             sent.destroy()
     sent = trained.spark.sparkContext.broadcast(trained.part(0)) if one else None
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        base = m.base(m.counts)
         kind = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))
         for batch in slices(batches):
             h, p, first = tokens(batch.column("text"))
@@ -323,7 +325,7 @@ def first_scores(docs: DataFrame, trained: Trained) -> DataFrame:
             distinct, which = np.unique(h, return_inverse=True)
             at = np.minimum(np.searchsorted(m.heads, distinct), max(len(m.heads) - 1, 0))
             found = m.heads[at] == distinct if len(m.heads) else np.zeros(len(distinct), bool)
-            value = np.where(found, base[at], 0.0) if len(m.heads) else np.zeros(len(distinct))
+            value = np.where(found, m.bases[at], 0.0) if len(m.heads) else np.zeros(len(distinct))
             head = found[which]
             rest = np.flatnonzero(~head)
             # the other words of a row, each with its count
@@ -347,7 +349,8 @@ def first_scores(docs: DataFrame, trained: Trained) -> DataFrame:
 def scored(docs: DataFrame, trained: Trained) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of each row of ``docs``."""
     m = trained.model
-    first = written(first_scores(docs, trained).withColumn("rid", F.monotonically_increasing_id()))
+    with batches_of(docs.sparkSession):
+        first = written(first_scores(docs, trained).withColumn("rid", F.monotonically_increasing_id()))
     bottom = float(m.total + m.distinct + 1)
     rest = first.select("rid", F.explode("rest").alias("r")).select("rid", "r.h", "r.n")
     met = rest.join(trained.words, "h", "left").groupBy("rid").agg(

@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.llm import divergence, mixing, negatives
+from shutterlake.llm import divergence, lm, mixing, negatives
 from shutterlake.llm.common import written
 
 DOCS = "doc_id bigint, text string, lang string, source string, part string, value double"
@@ -221,3 +221,18 @@ def test_mix_hard(spark, mix):
     one = mixing.mixed(documents(spark, [(None, "a b", "en", "s")] * 9)).collect()  # rows repeated exactly are taken one by one
     assert sorted(r["taken"] for r in one) == [2] * 5 + [4] * 4 or sorted(r["taken"] for r in one) == [2] * 4 + [4] * 5
     assert "PythonUDF" not in (plan := mixing.mixed(docs)._jdf.queryExecution().executedPlan().toString()) and "InArrow" not in plan and "InPandas" not in plan
+
+
+def test_texts_go_to_the_language_model_in_small_batches(spark, monkeypatch):
+    name, whole = "spark.sql.execution.arrow.maxBytesPerBatch", lm.slices
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("sea dog sun "), 25_000).alias("text")).coalesce(1)
+
+    def small(batches):
+        for batch in batches:
+            assert batch.nbytes < 6 << 20, batch.nbytes
+            yield from whole([batch])
+
+    monkeypatch.setattr(lm, "slices", small)
+    old = spark.conf.get(name)
+    got = lm.scored(docs, lm.Trained(docs)).collect()
+    assert spark.conf.get(name) == old and len(got) == 60 and {(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got} == {(75_001, 75_001, 60 * 75_001)}
