@@ -1,11 +1,13 @@
-"""Searches of near hashes: all pairs, whatever way they are found, and few rows dealt for it."""
+"""Searches of near hashes: all pairs, whatever way they are found, and few rows dealt for it; the latent space of all passages."""
 
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shutterlake.llm import latent
 from shutterlake.operators import neighbours
 
 
@@ -52,3 +54,50 @@ def test_hashes_are_not_dealt_over_and_over(spark, monkeypatch):
     got = neighbours.near_duplicates(media.withColumn("image_phash", F.lpad("image_phash", 16, "0")), F.lit(1.0), seeds=False)
     # nearest by chance: none or few
     assert got.count() < 10 and [t.count() for t in dealt] == [12_000]
+
+
+def test_sums_of_runs(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows, of = rng.standard_normal((50, 3)), rng.integers(0, 50, 400)
+    first = rng.integers(0, 300, 60)
+    n = rng.integers(1, 40, 60)
+    assert np.allclose(latent._sums(rows, of, first, n), [rows[of[a : a + k]].sum(0) for a, k in zip(first, n, strict=True)])
+    assert latent._sums(rows, of, first[:0], n[:0]).shape == (0, 3)
+    monkeypatch.setattr(latent, "ENTRIES", 8)
+    idf, q = rng.random(30) + 0.1, rng.standard_normal((30, 4))
+    passages = [np.unique(rng.integers(-1, 30, k)) for k in rng.integers(1, 20, 90)]  # -1: a word that is left out
+    got, want = np.zeros((2, 30, 4))
+    latent._multiply(got, np.concatenate(passages), np.ones(sum(map(len, passages)), int), np.array([len(p) for p in passages]), idf, q)
+    for p in passages:
+        latent._add(want, p[p >= 0], idf, q)
+    assert np.allclose(got, want)
+
+
+def test_latent_space_is_that_of_all_documents(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(260)]
+    texts = [" ".join(rng.choices(words[(i % 26) * 10 :][:12], k=rng.choice([0, 5, 20, 90]))) for i in range(5_000)] + [None, "none of these"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    items = [latent.Item(i, latent.Words(pa.array([" ".join(words[i * 10 : i * 10 + 10])])).hashes, np.zeros(0, np.uint64)) for i in range(26)]
+    index = latent.indexed(docs, items)
+    at = {w: int(np.searchsorted(index.vocabulary, latent.Words(pa.array([w])).hashes[0])) for w in words}
+    df = np.zeros(len(index.vocabulary))
+    for t in texts:
+        for w in {w for w in (t or "").split() if w in at}:
+            df[at[w]] += 1
+    idf = np.log((len(texts) + 1) / (df + 1)) + 0.01
+    matrix = []
+    for t in [*texts, *(" ".join(words[i * 10 : i * 10 + 10]) for i in range(26))]:
+        own = (t or "").split()
+        for k in range(0, len(own), latent.PASSAGE):
+            x = np.zeros(len(idf))
+            for w in own[k : k + latent.PASSAGE]:
+                if w in at:
+                    x[at[w]] += idf[at[w]]
+            matrix += [x / np.linalg.norm(x)] if x.any() else []
+    gram = np.array(matrix).T @ np.array(matrix)
+    v = index.latent / idf[:, None]
+    # the 26 largest singular values stand out: their vectors' products with the passages, as by the exact matrix
+    exact = np.linalg.eigh(gram)[0][::-1][:26]
+    assert len(index.vocabulary) == 260 and np.allclose(np.einsum("ik,ij,jk->k", v, gram, v)[:26], exact, rtol=1e-3)
+    assert np.abs(gram @ v[:, :26] - v[:, :26] * exact).max() < 3e-3 * exact[0]
